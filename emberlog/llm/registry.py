@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["near_dedup", "url_filter", "chat_format", "language_id", "packing", "decontaminate", "quality_rules"]
+MODULES = ["line_dedup", "near_dedup", "url_filter", "chat_format", "language_id", "packing", "decontaminate", "quality_rules"]
 
 
 def _loaded():
