@@ -1,9 +1,70 @@
-"""A corpus-cleaning pipeline: the stages of STAGES applied in order to `documents`."""
+"""A corpus-cleaning pipeline: the stages of STAGES applied in order to `documents`.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of `documents`; n_chars
+follows the text. Language ID drops documents without a letter or whose language is uncertain; line dedup removes
+repeated lines and drops a document only if nothing but repeated lines was in it; near-dedup keeps the first document of
+each group; decontamination drops documents that hold benchmark passages; packing gives the pieces and their places.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.llm import decontaminate, language_id, line_dedup, near_dedup, packing
+from emberlog.llm import shared as S
+
+#: Least calibrated probability of the predicted language.
+LANGUAGE_SCORE = 0.3
+
+
+def _anti(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not among `gone`, a list that is broadcast if it is measured to be short."""
+    return docs.join(S.small(S.checkpoint(gone.select("doc_id").distinct()), 1_000_000), "doc_id", "left_anti")
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language_id.fit(docs)
+    out = language_id.predict(docs, model)
+    return _anti(docs, out.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)))
+
+
+def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs)
+    emptied = (F.col("n_exact") + F.col("n_near") > 0) & (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
+    out = out.filter(~F.coalesce(emptied, F.lit(False)))
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
-STAGES: list = []
+
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _anti(docs, near_dedup.near_dedup(docs).filter(~F.col("kept")))
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(docs, S.read(spark, sf_dir, "benchmark"))
+    return _anti(docs, found.filter("contaminated"))
+
+
+def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", stage_language),
+    ("line_dedup", stage_lines),
+    ("near_dedup", stage_near),
+    ("decontaminate", stage_decontaminate),
+    ("pack", stage_pack),
+]
 
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on `documents`; what each stage keeps is checkpointed in the shared folder."""
+    docs = S.read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = S.checkpoint(docs)
+    return docs

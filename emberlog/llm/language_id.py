@@ -97,9 +97,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def ftrl(rows: list, labels: np.ndarray, k: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights (BUCKETS, k) of multinomial logistic regression by FTRL-proximal with l1 and l2 penalties."""
-    z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
+def ftrl(rows: list, labels: np.ndarray, k: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = EPOCHS, seed: int = 7, size: int = BUCKETS) -> np.ndarray:
+    """Weights (size, k) of multinomial logistic regression by FTRL-proximal with l1 and l2 penalties."""
+    z, n = np.zeros((size, k)), np.zeros((size, k))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "near_dedup", "url_filter", "chat_format", "language_id", "packing", "suffix_dedup", "decontaminate", "quality_rules"]
+MODULES = ["line_dedup", "near_dedup", "url_filter", "chat_format", "language_id", "packing", "suffix_dedup", "decontaminate", "quality_rules", "cotrain"]
 
 
 def _loaded():
@@ -12,7 +12,9 @@ def _loaded():
 
 
 def queries() -> dict:
-    return {k: f for m in _loaded() for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in _loaded() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
