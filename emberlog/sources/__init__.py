@@ -1 +1 @@
-
+"""Readers and writers of logs and forensic artefacts."""
