@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlation as C
 from emberlog.operators import detections as D
+from emberlog.operators import features as M
 from emberlog.operators import filters as L
 from emberlog.operators import labels as B
 from emberlog.operators import stats as A
@@ -339,3 +340,26 @@ def kill_chains(e):
 @_query(""" SELECT ip, count(*) AS n, count(DISTINCT attack_type) AS types, count(*) * count(DISTINCT attack_type) AS threat_score FROM e WHERE attack_type IS NOT NULL GROUP BY ip ORDER BY threat_score DESC, ip LIMIT 10""")
 def threat_scores(e):
     return C.threat_scores(e)
+
+
+# ---- features and scores
+
+_VECTOR = """, v AS (SELECT ip, count(*) AS n, count(*) FILTER (WHERE outcome = 'failure') / count(*) AS failure_rate, count(DISTINCT port) AS ports FROM e GROUP BY ip),
+s AS (SELECT *, (0.5 * least(greatest(failure_rate / 0.4, 0.0), 1.0) + 0.3 * least(greatest(ports / 100, 0.0), 1.0) + 0.2 * least(greatest(n / 250, 0.0), 1.0)) AS raw FROM v)
+SELECT ip, round(raw, 6) AS raw, round(1 / (1 + exp(-10 * (raw - 0.5))), 6) AS score, raw >= 0.5 AS hit FROM s"""
+
+
+def _vector(e):
+    return e.groupBy("ip").agg(F.count("*").alias("n"), (F.count_if(F.col("outcome") == "failure") / F.count("*")).alias("failure_rate"), F.count_distinct("port").alias("ports"))
+
+
+@_query(_VECTOR)
+def linear_anomaly_score(e):
+    s = M.linear_score(_vector(e), {"failure_rate": 0.5, "ports": 0.3, "n": 0.2}, {"failure_rate": 0.4, "ports": 100.0, "n": 250.0})
+    return s.select("ip", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"), "hit")
+
+
+@_query()
+def isolation_forest_scores(e):
+    """Anomaly scores of ips by random split trees."""
+    return M.isolation_forest(_vector(e), "ip", ["n", "failure_rate", "ports"])
