@@ -19,7 +19,7 @@ ROUND_SECONDS = (3600, 7200, 43200, 86400, 604800, 2592000, 31536000)
 
 def ntfs_time(ticks: Column) -> Column:
     """Microseconds since 1970 of 100-ns ticks since 1601; 0 is unset."""
-    return F.when(ticks != 0, F.floor(ticks / 10).cast("long") - F.lit(11_644_473_600_000_000))
+    return F.when(ticks != 0, F.call_function("div", ticks, F.lit(10)) - F.lit(11_644_473_600_000_000))
 
 
 def _rows(df: DataFrame, cond: Column, rule: str, severity: Column, points: Column) -> DataFrame:
