@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlation as C
 from emberlog.operators import detections as D
+from emberlog.operators import enrich as N
+from emberlog.operators import feedback as K
 from emberlog.operators import features as M
 from emberlog.operators import filters as L
 from emberlog.operators import labels as B
@@ -363,3 +365,54 @@ def linear_anomaly_score(e):
 def isolation_forest_scores(e):
     """Anomaly scores of ips by random split trees."""
     return M.isolation_forest(_vector(e), "ip", ["n", "failure_rate", "ports"])
+
+
+# ---- enrichment, gates and feedback
+
+
+@_query(""" SELECT CASE log_type WHEN 'apache' THEN 'web' WHEN 'sshd' THEN 'auth' WHEN 'mysql' THEN 'database' WHEN 'iptables' THEN 'firewall' ELSE 'other' END AS category, severity, count(*) AS n FROM e GROUP BY ALL""")
+def category_severity(e):
+    return e.groupBy(N.category(F.col("log_type")).alias("category"), "severity").agg(F.count("*").alias("n"))
+
+
+@_query(" SELECT id, ip || ' ' || action AS title FROM e")
+def event_titles(e):
+    return e.select("id", N.title(F.col("ip"), F.col("action"), F.col("user"), F.col("outcome"), F.col("severity")).alias("title"))
+
+
+@_query(""", g AS (SELECT ip, count(*) AS n, count(*) FILTER (WHERE outcome = 'failure') AS failed FROM e GROUP BY ip)
+SELECT ip, n, failed, n < 10 OR failed / n < 0.2 AS false_positive, CASE WHEN n < 10 THEN 'few events' WHEN failed / n < 0.2 THEN 'low failure rate' END AS reason FROM g""")
+def false_positive_gate(e):
+    return N.likely_false(e.groupBy("ip").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failed")), 10, 0.2)
+
+
+_FEEDBACK = """, f AS (SELECT us, CASE WHEN port % 3 = 0 THEN 'correct' WHEN port % 3 = 1 THEN 'false_positive' ELSE 'unclear' END AS verdict, attack_type AS predicted FROM e WHERE attack_type IS NOT NULL)"""
+
+
+@_query(_FEEDBACK + """, m AS (SELECT max(us) AS now_us FROM e) SELECT verdict, predicted, count(*) AS n, count(*) FILTER (WHERE us > 1706659032194062 - 86400000000) AS last_day FROM f WHERE verdict <> 'unclear' GROUP BY 1, 2""")
+def feedback_stats(e):
+    """Verdicts derived from the port, as feedback rows."""
+    verdict = F.when(F.col("port") % 3 == 0, "correct").when(F.col("port") % 3 == 1, "false_positive").otherwise("unclear")
+    f = e.filter("attack_type is not null").select("us", verdict.alias("verdict"), F.col("attack_type").alias("predicted"))
+    return K.stats(f, 1_706_659_032_194_062)
+
+
+@_query(""" SELECT attack_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS percent FROM e WHERE attack_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, attack_type LIMIT 5""")
+def attack_type_slices(e):
+    from pyspark.sql import Window
+
+    g = e.filter("attack_type is not null").groupBy("attack_type").agg(F.count("*").alias("n"))
+    return g.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).cast("double")).orderBy(F.desc("n"), "attack_type").limit(5)
+
+
+@_query(""" SELECT us // 300000000 * 300000000 AS minute_us, count(*) AS n, count(*) FILTER (WHERE is_anomaly) AS anomalies, count(*) FILTER (WHERE NOT is_anomaly) AS normal FROM e GROUP BY 1 ORDER BY 1 LIMIT 500""")
+def capped_timeline(e):
+    """The first 500 steps of the five-minute timeline."""
+    return A.minute_timeline(e, 5).orderBy("minute_us").limit(500)
+
+
+@_query(""", f AS (SELECT "user", ip FROM e WHERE outcome = 'failure'), s AS (SELECT "user", ip FROM e WHERE outcome = 'success')
+SELECT "user", coalesce(f.n, 0) AS failing, coalesce(s.n, 0) AS succeeding FROM (SELECT "user", count(DISTINCT ip) AS n FROM f GROUP BY 1) f FULL JOIN (SELECT "user", count(DISTINCT ip) AS n FROM s GROUP BY 1) s USING ("user") """)
+def ips_by_outcome(e):
+    g = lambda o, n: e.filter(F.col("outcome") == o).groupBy("user").agg(F.count_distinct("ip").alias(n))
+    return g("failure", "failing").join(g("success", "succeeding"), "user", "full").na.fill(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberlog.operators import artefacts as T
 from emberlog.operators import forensic as R
 
 QUERIES: dict = {}
@@ -131,3 +132,40 @@ def multi_source_presence(f, j):
 def gap_outliers(f, j):
     g = f.select("record", ((F.col("modified_us") - F.col("created_us")) / 1e6).alias("gap"))
     return R.z_outliers(g, "gap", 1.7).select("record", F.round("z", 2).alias("z"))
+
+
+@_query(""", b AS (SELECT us // 86400000000 AS day, min(us) + 43200000000 AS boot_us FROM j GROUP BY 1) SELECT record, created_us, boot_us FROM f JOIN b ON created_us // 86400000000 = b.day WHERE created_us < boot_us""")
+def before_boot(f, j):
+    """Boots at noon of each day that the journal has."""
+    return T.before_boot(f, j.groupBy("us").count().select((F.col("us") + 43_200_000_000).alias("us")))
+
+
+@_query(""", x AS (SELECT record, file, lsn, lsn - lag(lsn) OVER (PARTITION BY file ORDER BY lsn) AS gap FROM (SELECT min(record) AS record, file, lsn FROM j GROUP BY file, lsn) y) SELECT record, file, lsn, gap FROM x WHERE gap > 20 ORDER BY gap DESC, file, lsn LIMIT 10""")
+def sequence_gaps(f, j):
+    return T.sequence_gaps(j.groupBy("file", "lsn").agg(F.min("record").alias("record")).select("record", "file", "lsn"), "file", "lsn", 20)
+
+
+@_query(" SELECT count(*) AS rows, min(us) AS first_us, max(us) AS last_us, count(*) > 100 AND max(us) - min(us) < 7 * 86400000000 AS suspicious FROM j")
+def journal_health(f, j):
+    return T.journal_health(j)
+
+
+@_query(""", v AS (SELECT DISTINCT record, 3 AS w FROM f WHERE modified_us - created_us > 5184000000000 UNION ALL SELECT DISTINCT record, 2 FROM j WHERE reason & 256 <> 0 UNION ALL SELECT DISTINCT record, 1 FROM f WHERE fn_created_us <> created_us),
+g AS (SELECT record, sum(w)::BIGINT AS w FROM v GROUP BY 1), s AS (SELECT f.record, coalesce(w, 0) AS votes FROM f LEFT JOIN g ON f.record = g.record)
+SELECT record, votes, CASE WHEN votes >= 6 THEN 'strong' WHEN votes >= 4 THEN 'moderate' WHEN votes >= 2 THEN 'weak' ELSE 'none' END AS verdict FROM s""")
+def artefact_votes(f, j):
+    return T.votes(f, {"late": (f.filter("modified_us - created_us > 5184000000000"), 3), "made": (j.filter(F.col("reason").bitwiseAND(256) != 0), 2), "named": (f.filter("fn_created_us <> created_us"), 1)})
+
+
+@_query(""", y AS (SELECT dir, year(make_timestamp(created_us)) AS yr, count(*) AS n FROM f GROUP BY 1, 2), g AS (SELECT dir, sum(n)::BIGINT AS files, max(n) AS top, arg_max(yr, n * 10000 + yr)::INTEGER AS year FROM y GROUP BY 1)
+SELECT dir, files, year, round(top / files, 6) AS share FROM g WHERE files >= 50 AND top > 0.2 * files""")
+def year_clusters(f, j):
+    return T.year_clusters(f, 50, 0.2)
+
+
+@_query(""", s AS (SELECT DISTINCT us // 31536000000000 * 31536000000000 AS us FROM j)
+SELECT f.record, (SELECT min(s.us) FROM s WHERE s.us > f.created_us) // 31536000000000 AS next_snapshot FROM f""")
+def later_snapshot(f, j):
+    """Snapshots once in 365 days of the journal's times."""
+    year = F.expr("us div 31536000000000")
+    return T.later_snapshot(f, j.select(year.alias("snapshot")).distinct().withColumn("us", F.col("snapshot") * 31_536_000_000_000))
