@@ -25,7 +25,7 @@ from emberlog.llm import shared as S
 THRESHOLD = 2
 MIN_CHARS = 24
 BROADCAST_LINES = 2_000_000
-LETTERS = "etno"
+LETTERS = "etnoairs"
 _SCALE = 10**10  # line numbers are below it
 
 
@@ -57,16 +57,18 @@ def _segments(n: str, threshold: int) -> list[tuple[str, str]]:
     return [(f"({i} * {short} + greatest(0, {i} - ({k} - {longer})) + 1)", f"({short} + if({i} >= {k} - {longer}, 1, 0))") for i in range(k)]
 
 
-def _keys(threshold: int) -> tuple[str, str]:
-    """SQL arrays of the keys that a line is posted under, and of those that it probes."""
+def _keys(threshold: int) -> tuple[str, str, int]:
+    """SQL arrays of the keys that a line is posted under, and of those that it probes; the first of these, so many, are for its own length."""
+    own = 0
     post = [f"xxhash64(n, {i}, substring(line, {start}, {size}))" for i, (start, size) in enumerate(_segments("n", threshold))]
     probe = []
-    for less in range(threshold + 1):
+    for less in range(threshold + 1):  # own length first
         for i, (start, size) in enumerate(_segments(f"(n - {less})", threshold)):
             low = max(-i, less - (threshold - i))
             high = min(i, less + (threshold - i))
             probe += [f"xxhash64(n - {less}, {i}, substring(line, {start} + {d}, {size}))" for d in range(low, high + 1)]
-    return f"array({', '.join(post)})", f"array({', '.join(probe)})"
+        own = own or len(probe)
+    return f"array({', '.join(post)})", f"array({', '.join(probe)})", own
 
 
 def _letters() -> Column:
@@ -94,13 +96,13 @@ def within(x: str, y: str, threshold: int) -> Column:
     full = (1 << width) - 1
     bits = " + ".join(f"if(get(p, i + {k - (width - 1) + b}) = c, {1 << b}L, 0L)" for b in range(width))
     vertical = f"{((1 << (k + 1)) - 1) << (width - k - 1)}L"
-    d0 = "(((((m & a.vp) + a.vp) ^ a.vp) | m | a.vn) & %d)" % full
-    hp, hn = f"(a.vn | (~({d0} | a.vp) & {full}))", f"({d0} & a.vp)"
-    d1 = f"shiftright({d0}, 1)"
-    down = f"(1 - (shiftright({d0}, {width - 1}) & 1))"
+    d0 = f"(((((m & a.vp) + a.vp) ^ a.vp) | m | a.vn) & {full})"
+    hp, hn, d1 = f"(a.vn | (~(d | a.vp) & {full}))", "(d & a.vp)", "shiftright(d, 1)"
+    down = f"(1 - (shiftright(d, {width - 1}) & 1))"
     at = f"greatest(0, {width - 2} - cast(a.i - (size(p) - {k}) as int))"
     along = f"((shiftright({hp}, {at}) & 1) - (shiftright({hn}, {at}) & 1))"
     step = f"named_struct('vp', {hn} | (~({d1} | {hp}) & {full}), 'vn', {d1} & {hp}, 'i', a.i + 1, 'd', a.d + if(a.i < size(p) - {k}, {down}, {along}))"
+    step = f"transform(array({d0}), d -> {step})[0]"
     run = f"aggregate(transform(q, (c, i) -> {bits}), named_struct('vp', {vertical}, 'vn', 0L, 'i', 0, 'd', {k}L), (a, m) -> {step}, a -> a.d)"
     return F.expr(f"transform(array(named_struct('p', split({x}, ''), 'q', split({y}, ''))), s -> abs(size(s.p) - size(s.q)) <= {k} and {_bound(run)} <= {k})[0]")
 
@@ -134,10 +136,10 @@ def duplicates(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     kept = "array_except(sequence(0, size(lines) - 1), transform(filter(exact, e -> xxhash64(get(lines, e.line_no)) = e.h1), e -> e.line_no))"
     ones = split.select("doc_id", "lines", F.explode(F.expr(kept)).alias("line_no")).select("doc_id", "line_no", F.expr("lines[line_no]").alias("line")).withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
     ones = ones.select("line", "n", F.xxhash64("line").alias("h1"), _letters().alias("x"))
-    post, probe = _keys(threshold)
+    post, probe, own = _keys(threshold)
     index = ones.select(F.explode(F.expr(post)).alias("key"), F.col("h1").alias("a"), F.col("x").alias("xa"))
-    asked = ones.select(F.explode(F.expr(probe)).alias("key"), F.col("h1").alias("b"), F.col("x").alias("xb"))
-    pairs = S.checkpoint(index.join(asked, "key").filter(f"a <> b and {_alike(threshold)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = ones.select(F.posexplode(F.expr(probe)).alias("at", "key"), F.col("h1").alias("b"), F.col("x").alias("xb"))
+    pairs = S.checkpoint(index.join(asked, "key").filter(f"(a < b or a > b and at >= {own}) and {_alike(threshold)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # the texts and first places of the few lines that have a candidate
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     found = eligible_lines(texts, min_chars).join(S.small(wanted, BROADCAST_LINES), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.min(_position("doc_id", "line_no")).alias("p"))
