@@ -3,8 +3,8 @@
 Every document has one posting for each (coordinate, value) pair of its MinHash signature. Two documents whose
 signatures agree in at least T of K coordinates share one of the K - T + 1 rarest postings of either (the prefix), so
 only those lists are merged; postings that one document alone holds are skipped, and a document left with fewer than T
-others is linked with nothing. Agreement is then counted on whole signatures, and each link is confirmed on the full
-shingle sets.
+others is linked with nothing. The documents that remain get a longer sketch; pairs of a list whose sketches agree in
+enough coordinates are confirmed on the full shingle sets.
 
 Lists are never expanded into all their pairs. First each member meets the first member of its list, which joins dense
 groups into components. Then only pairs of different components are compared, and only members outside a list's
@@ -27,13 +27,18 @@ from emberlog.llm import shared as S
 COORDINATES = 32
 #: A pair with Jaccard 0.85 agrees in fewer than 18 of 32 coordinates with a probability of about 1e-5.
 MATCHES = 18
+#: Coordinates of the sketch that survivors get, four bits each. At Jaccard 0.85 at least 405 agree but once in 10**5.
+SKETCH = 512
+SKETCH_MATCHES = 405
 WIDTH = 5
 SIMILAR = 85
 BROADCAST_ROWS = 500_000
+#: Lists with more members are compared in blocks of about so many.
+LONG_LIST = 512
 
 _rng = np.random.default_rng(20240611)
-_A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 63, COORDINATES + SKETCH, dtype=np.uint64)
 
 
 def _signed(batches):
@@ -95,6 +100,19 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(key), pa.array([x.tobytes() for x in out], pa.binary())], ["id", "key1", "items"])
 
 
+def _items(batches):
+    """Each document's distinct shingles, one a row."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        data, off = S.utf8(batch.column("text"))
+        for lo, hi in S.chunks(off, S.CHUNK_BYTES // 4):
+            words, woff = S.word_hashes(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            sh, soff = S.shingles(words, woff, WIDTH)
+            sets = [np.unique(sh[a:b]) for a, b in zip(soff[:-1], soff[1:])]
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo:hi], n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["doc_id", "n", "item"])
+
+
 def _confirmed(similar):
     def check(batches):
         for batch in batches:
@@ -120,45 +138,112 @@ def confirm(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(similar), "a long, b long")
 
 
-def _agree(similar_at_least):
-    def count(batches):
-        """Pairs of one list that agree in enough coordinates."""
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint32).reshape(n, -1)
-            y = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint32).reshape(n, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array((x == y).sum(1) >= similar_at_least))
-
-    return count
-
-
-def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int) -> DataFrame:
+def _sketched(batches):
+    """A longer signature of four bits a coordinate, packed into longs: equal coordinates have equal nibbles."""
+    shift = np.arange(0, 64, 4, dtype=np.uint64)
+    for batch in batches:
+        data, off = S.utf8(batch.column("text"))
+        for lo, hi in S.chunks(off):
+            words, woff = S.word_hashes(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            sh, soff = S.shingles(words, woff, WIDTH)
+            out, key, full = np.zeros((hi - lo, SKETCH), np.uint64), np.zeros(hi - lo, np.uint64), np.flatnonzero(np.diff(soff))
+            size = np.zeros(hi - lo, np.int64)
+            for i in full:
+                items = np.unique(sh[soff[i] : soff[i + 1]])
+                size[i], key[i] = len(items), S.mix(items).sum(dtype=np.uint64)
+            for k in range(SKETCH if len(full) else 0):
+                low = np.minimum.reduceat((sh * _A[COORDINATES + k] + _B[COORDINATES + k]) >> np.uint64(32), soff[full])
+                out[full, k] = S.mix(low) & np.uint64(15)
+            longs = (out.reshape(hi - lo, -1, 16) << shift).sum(2, dtype=np.uint64).view(np.int64)
+            cols = [size, key.view(np.int64), *longs.T]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["rep", "n", "key1", *_COLUMNS])
+
+
+_COLUMNS = [f"s{i}" for i in range(SKETCH // 16)]
+
+
+def enough(x: str, y: str, least: int) -> str:
+    """SQL for whether two packed sketches agree in `least` coordinates: nibbles that differ are folded into one bit each."""
+    v = [f"({x}{i} ^ {y}{i})" for i in range(len(_COLUMNS))]
+    differ = " + ".join(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {0x1111111111111111})" for d in v)
+    return f"{differ} <= {SKETCH - least}"
+
+
+def _compared(similar):
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Pairs of one block of a long list's probes with one block of its members."""
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            grid = lambda t: np.stack([t.column(c).to_numpy() for c in _COLUMNS], 1).view(np.uint64)
+            col = lambda t, c: t.column(c).to_numpy()
+            x, y, ones = grid(left), grid(right), np.uint64(0x1111111111111111)
+            a, b, ca, cb, na, nb = col(left, "rep"), col(right, "rep"), col(left, "comp"), col(right, "comp"), col(left, "n"), col(right, "n")
+            main, place = col(right, "main"), col(left, "place")
+            ka, kb = left.column("keys").to_pylist(), [set(k) for k in right.column("keys").to_pylist()]
+            for i in range(len(a)):
+                j = np.flatnonzero((ca[i] != cb) & ((cb == main) | (a[i] < b)) & (100 * np.minimum(na[i], nb) >= similar * np.maximum(na[i], nb)))
+                d = x[i] ^ y[j]
+                d |= d >> np.uint64(2)
+                d |= d >> np.uint64(1)
+                for j in j[np.bitwise_count(d & ones).sum(1) <= SKETCH - SKETCH_MATCHES]:
+                    if not any(k in kb[j] for k in ka[i][: place[i]]):  # else an earlier list has the pair
+                        out_a.append(min(a[i], b[j]))
+                        out_b.append(max(a[i], b[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return compare
+
+
+def _long_lists(lists: DataFrame, similar: int) -> DataFrame:
+    """Pairs of long lists: probes and members are dealt into blocks, and every probe block meets every member block."""
+    blocks = F.ceil(F.col("members") / LONG_LIST).cast("int")
+    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    names = ["key", "rep", "comp", "n", "place", "keys", "main", *_COLUMNS]
+    left = lists.filter("comp <> main").select(*names, block.alias("p"), every.alias("q"))
+    right = lists.select(*names, block.alias("q"), every.alias("p")).toDF(*names, "q", "p")
+    return left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInArrow(_compared(similar), "a long, b long")
+
+
+def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats: bool = False) -> DataFrame:
     """(node, component) over representatives `reps` (rep, signature) that have links."""
     posts = reps.select("rep", "signature").mapInArrow(_tokens, "rep long, key long")
     shared_keys = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     posts = posts.join(shared_keys, "key")
     # of K rarest-first postings the first K - T + 1 are the prefix; those that nobody shares come first
     counts = posts.groupBy("rep").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"))
-    prefix = counts.filter(F.col("n") >= matches).select("rep", F.explode(F.expr(f"slice(p, 1, cast(n as int) - {matches} + 1)")).alias("t")).select("rep", F.col("t.key").alias("key"))
-    prefix = S.checkpoint(prefix)
+    keys = F.expr(f"transform(slice(p, 1, cast(n as int) - {matches} + 1), t -> t.key)")
+    prefix = S.checkpoint(counts.filter(F.col("n") >= matches).select("rep", keys.alias("keys")).select("rep", "keys", F.posexplode("keys").alias("place", "key")))
+    # a link shares `similar` percent of either's shingles: who has fewer that another one has too drops out
+    ids = S.checkpoint(prefix.select(F.col("rep").alias("doc_id")).distinct())
+    items = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(S.small(ids, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(_items, "doc_id long, n long, item long")
+    common = items.groupBy("item").agg(F.count_distinct("doc_id").alias("df") if repeats else F.count("*").alias("df")).filter("df > 1").select("item")
+    ids = S.checkpoint(items.join(common, "item").groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(f"100 * c >= {similar} * n").select("doc_id").distinct())
+    prefix = prefix.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(S.small(ids, BROADCAST_ROWS), "doc_id", "left_semi")
+    sketch = texts.mapInArrow(_sketched, "rep long not null, n long not null, key1 long, " + ", ".join(f"{c} long not null" for c in _COLUMNS))
+    lists = S.checkpoint(prefix.join(sketch.join(reps.select("rep", "key1"), ["rep", "key1"], "left_semi").drop("key1").dropDuplicates(["rep"]), "rep"))
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        return of.select("key", F.col("rep").alias(name[0]), F.col("n").alias("n" + name[0]), F.col("keys").alias("keys" + name[0]), F.col("place").alias("place" + name[0]), *(F.col(c).alias(name[1] + c[1:]) for c in _COLUMNS), *(F.col(c).alias(c + name[0]) for c in of.columns if c == "comp"))
+
+    # a pair that shares several lists is made in the first of them alone
+    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {enough('x', 'y', SKETCH_MATCHES)} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
     # round 1: each member of a list against its first member
-    stars = prefix.join(prefix.groupBy("key").agg(F.min("rep").alias("a")), "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    sig = reps.select(F.col("rep"), F.col("signature"))
-    agree = lambda pairs: pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(_agree(matches), "a long, b long")
-    first = S.checkpoint(confirm(S.checkpoint(agree(stars)), docs, similar))
+    heads = lists.join(lists.groupBy("key").agg(F.min("rep").alias("rep")), ["key", "rep"], "left_semi")
+    stars = S.checkpoint(side(heads, "ax").join(side(lists, "by"), "key").filter(f"b > a and {near}").select("a", "b").distinct())
+    first = S.checkpoint(confirm(stars, docs, similar))
     comp = S.components(first)
     # round 2: pairs of different components; who is outside a list's largest component probes the list
-    lists = prefix.join(comp, prefix["rep"] == comp["node"], "left").select("rep", "key", F.coalesce("component", "rep").alias("comp"))
+    lists = lists.join(comp, lists["rep"] == comp["node"], "left").select(*lists.columns, F.coalesce("component", "rep").alias("comp"))
     sizes = lists.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("top.comp").alias("main"))
-    lists = S.checkpoint(lists.join(main, "key"))
-    probe = lists.filter("comp <> main").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    there = lists.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), "main")
-    cross = probe.join(there, "key").filter("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select("a", "b")
-    second = confirm(S.checkpoint(agree(cross.join(tried, ["a", "b"], "left_anti"))), docs, similar)
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("members")).filter("comps > 1")
+    main = S.checkpoint(main.select("key", F.col("top.comp").alias("main"), "members"))
+    lists = lists.join(main, "key")
+    probe, there = side(lists.filter("comp <> main and members <= " + str(LONG_LIST)), "ax"), side(lists.filter(f"members <= {LONG_LIST}"), "by").join(main.select("key", "main"), "key")
+    cross = probe.join(there, "key").filter(f"compa <> compb and (compb = main or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = cross.unionByName(_long_lists(lists.filter(f"members > {LONG_LIST}"), similar)).distinct()
+    second = confirm(S.checkpoint(cross.join(stars, ["a", "b"], "left_anti")), docs, similar)
     return S.components(first.unionByName(second))
 
 
@@ -170,8 +255,9 @@ def near_dedup(docs: DataFrame, matches: int = MATCHES, similar: int = SIMILAR)
     # equal sets are one class: only its representative goes on
     classes = named.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     by_set = named.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "rep")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "signature")
-    comp = links(docs, reps, matches, similar)
+    reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "signature", "key1")
+    repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    comp = links(docs, reps, matches, similar, repeats)
     merged = by_set.join(comp, by_set["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(merged, "doc_id", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
