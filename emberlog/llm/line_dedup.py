@@ -25,7 +25,7 @@ from emberlog.llm import shared as S
 THRESHOLD = 2
 MIN_CHARS = 24
 BROADCAST_LINES = 2_000_000
-LETTERS = "etnoairs"
+LETTERS = "etnoairsdl"
 _SCALE = 10**10  # line numbers are below it
 
 
@@ -72,18 +72,18 @@ def _keys(threshold: int) -> tuple[str, str, int]:
 
 
 def _letters() -> Column:
-    """The counts of LETTERS modulo 256, packed."""
+    """The counts of LETTERS modulo 64, packed; the letters have one byte each."""
     total = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        count = F.length("line") - F.length(F.expr(f"replace(line, '{c}', '')"))
-        total = total + F.shiftleft((count % 256).cast("long"), 8 * i)
+        count = F.octet_length("line") - F.octet_length(F.expr(f"replace(line, '{c}', '')"))
+        total = total + F.shiftleft((count % 64).cast("long"), 6 * i)
     return total
 
 
 def _alike(threshold: int) -> str:
     """SQL for whether packed letter counts differ by as much as `threshold` edits can change them."""
-    gaps = [f"abs((shiftright(xa, {8 * i}) & 255) - (shiftright(xb, {8 * i}) & 255))" for i in range(len(LETTERS))]
-    return " + ".join(f"least({g}, 256 - {g})" for g in gaps) + f" <= {2 * threshold}"
+    gaps = [f"abs((shiftright(xa, {6 * i}) & 63) - (shiftright(xb, {6 * i}) & 63))" for i in range(len(LETTERS))]
+    return " + ".join(f"least({g}, 64 - {g})" for g in gaps) + f" <= {2 * threshold}"
 
 
 def within(x: str, y: str, threshold: int) -> Column:
@@ -134,8 +134,8 @@ def duplicates(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     # the first of each line, from the texts again
     split = _joined(texts.filter("doc_id is not null and text is not null"), exact, n_exact).select("doc_id", F.split("text", "\n").alias("lines"), F.coalesce("exact", F.expr("cast(array() as array<struct<line_no: int, h1: bigint>>)")).alias("exact"))
     kept = "array_except(sequence(0, size(lines) - 1), transform(filter(exact, e -> xxhash64(get(lines, e.line_no)) = e.h1), e -> e.line_no))"
-    ones = split.select("doc_id", "lines", F.explode(F.expr(kept)).alias("line_no")).select("doc_id", "line_no", F.expr("lines[line_no]").alias("line")).withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    ones = ones.select("line", "n", F.xxhash64("line").alias("h1"), _letters().alias("x"))
+    ones = split.select(F.explode(F.expr(f"filter(transform({kept}, i -> lines[i]), x -> length(x) >= {min_chars})")).alias("line"))
+    ones = ones.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), _letters().alias("x"))
     post, probe, own = _keys(threshold)
     index = ones.select(F.explode(F.expr(post)).alias("key"), F.col("h1").alias("a"), F.col("x").alias("xa"))
     asked = ones.select(F.posexplode(F.expr(probe)).alias("at", "key"), F.col("h1").alias("b"), F.col("x").alias("xb"))
