@@ -6,8 +6,9 @@ anchors that occur once are dropped. All windows of one anchor occurrence make u
 contexts are settled by counting: all but the first go. Contexts that differ under one anchor are compared byte by
 byte: they are dealt by anchor hash, and within each part batches in document order get a suffix array (the suffixes at
 their anchors), are merge-scanned against the arrays of earlier batches for matches of `match` bytes around the anchor,
-and arrays of equal size merge, so that a part keeps logarithmically many. An anchor with more than `crowd` different
-contexts is settled window by window with a grouped minimum instead, which has no large group in any task.
+and arrays of equal size merge, so that a part keeps logarithmically many. An anchor with more than `pairs` different
+contexts would take many comparisons: its windows' hashes, sorted, take the place of the suffixes in the same family of
+levels. With more than `crowd`, which would burden one task, a grouped minimum over windows settles it.
 
 Nulls and odd rows: a null or empty text has no bytes; rows with a null doc_id keep all bytes; rows that repeat a doc_id
 stand for one document, and what is removed at a place of one is removed there in all. Ties cannot occur otherwise. A
@@ -27,7 +28,8 @@ from emberlog.llm import shared as S
 
 MATCH = 100
 GRAM = 20
-CROWD = 256
+PAIRS = 64
+CROWD = 100_000
 BATCH = 4096
 PART_ROWS = 100_000
 BROADCAST_ROWS = 4_000_000
@@ -224,6 +226,55 @@ def _family(match, gram, batch_rows):
     return scan
 
 
+def _window_hashes(raw: list[bytes], place: np.ndarray, match: int):
+    """Context, step from its first window, and hash of every window."""
+    size = np.array([len(x) for x in raw], np.int64)
+    base = np.concatenate(([0], np.cumsum(size)))
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    up, down = S.powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+    n = np.maximum(0, np.minimum((place & 255) + 1, size - match + 1))
+    row = np.repeat(np.arange(len(raw)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    p = base[row] + step
+    return row, step, S.mix((sums[p + match] - sums[p]) * down[p])
+
+
+def _hash_family(match, batch_rows):
+    """As `_family`, with levels of sorted window hashes; a window's hash goes with its anchor's."""
+
+    def scan(batches):
+        levels: list[np.ndarray] = []
+        for batch in batches:
+            for a in range(0, batch.num_rows, batch_rows):
+                b = batch.slice(a, batch_rows)
+                place, h, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in ("place", "h", "doc_id"))
+                row, step, w = _window_hashes(b.column("bytes").to_pylist(), place, match)
+                key = S.mix(w + h.view(np.uint64)[row] * S.BASE)
+                _, first = np.unique(key, return_index=True)
+                seen = np.ones(len(key), bool)
+                seen[first] = False  # rows are in document order, so the first is the earliest
+                for level in levels:
+                    at = np.minimum(np.searchsorted(level, key), len(level) - 1)
+                    seen |= level[at] == key
+                hit = np.flatnonzero(seen)
+                if len(hit):
+                    # neighbouring windows of one context are one span
+                    cut = np.flatnonzero(np.concatenate(([True], (row[hit][1:] != row[hit][:-1]) | (step[hit][1:] != step[hit][:-1] + 1))))
+                    last = np.concatenate((cut[1:], [len(hit)])) - 1
+                    at = row[hit[cut]]
+                    s = (place[at] >> 16) + step[hit[cut]]
+                    e = (place[at] >> 16) + step[hit[last]] + match
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(s), pa.array(e)], ["doc_id", "s", "e"])
+                firsts = np.unique(key[~seen])
+                while levels and len(levels[-1]) <= len(firsts):
+                    firsts = np.union1d(levels.pop(), firsts)
+                if len(firsts):
+                    levels.append(firsts)
+
+    return scan
+
+
 def _windows(match):
     """Every window of crowded contexts by its hash."""
 
@@ -231,17 +282,7 @@ def _windows(match):
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             h, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc_id"))
-            raw = batch.column("bytes").to_pylist()
-            size = np.array([len(x) for x in raw], np.int64)
-            base = np.concatenate(([0], np.cumsum(size)))
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            up, down = S.powers(len(data) + 1)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-            n = np.maximum(0, np.minimum((place & 255) + 1, size - match + 1))
-            row = np.repeat(np.arange(len(raw)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            p = base[row] + step
-            w = S.mix((sums[p + match] - sums[p]) * down[p])
+            row, step, w = _window_hashes(batch.column("bytes").to_pylist(), place, match)
             yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(w.view(np.int64)), pa.array(ids[row]), pa.array((place[row] >> 16) + step)], ["h", "w", "doc_id", "s"])
 
     return cut
@@ -291,7 +332,7 @@ def _with(docs: DataFrame, lists: DataFrame, how: str, items: int) -> DataFrame:
     return docs.join(F.broadcast(lists) if items <= BROADCAST_ROWS // 4 else lists, "doc_id", how)
 
 
-def repeated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, crowd: int = CROWD, batch: int = BATCH) -> tuple[DataFrame, int]:
+def repeated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, pairs: int = PAIRS, crowd: int = CROWD, batch: int = BATCH) -> tuple[DataFrame, int]:
     """(doc_id, starts, ends): each document's maximal runs of bytes in strings of `match` bytes that start earlier too; and their number."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id is not null and text is not null")
     shared = S.checkpoint(texts.select("text").mapInArrow(_anchor_hashes(match, gram), "h long").groupBy("h").count().filter("count > 1").select("h"))
@@ -302,20 +343,21 @@ def repeated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, crowd: int =
     start = F.shiftright("place", 16)
     spans = [later.select("doc_id", start.alias("s"), (start + F.col("place").bitwiseAND(255) + match).alias("e"))]
     several = firsts.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    reps = S.checkpoint(firsts.join(several, "h").select("h", "first.doc_id", "first.place", (F.col("size") > crowd).alias("crowded")))
-    sizes = {r["crowded"]: r["count"] for r in reps.groupBy("crowded").count().collect()}
+    tier = F.when(F.col("size") > crowd, 2).when(F.col("size") > pairs, 1).otherwise(0)
+    reps = S.checkpoint(firsts.join(several, "h").select("h", "first.doc_id", "first.place", tier.alias("tier")))
+    sizes = {r["tier"]: r["count"] for r in reps.groupBy("tier").count().collect()}
+    repeats = texts.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
-    def contexts(crowded: bool) -> DataFrame:
-        wanted = reps.filter(F.col("crowded") == crowded).groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
-        return _with(texts.dropDuplicates(["doc_id"]) if repeats else texts, wanted, "inner", sizes[crowded]).select("doc_id", "text", "wanted").mapInArrow(_contexts(match), "h long, doc_id long, place long, bytes binary")
+    def contexts(tier: int) -> DataFrame:
+        wanted = reps.filter(F.col("tier") == tier).groupBy("doc_id").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
+        return _with(texts.dropDuplicates(["doc_id"]) if repeats else texts, wanted, "inner", sizes[tier]).select("doc_id", "text", "wanted").mapInArrow(_contexts(match), "h long, doc_id long, place long, bytes binary")
 
-    repeats = texts.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    if sizes.get(False):
-        parts = max(1, -(-sizes[False] // PART_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        dealt = contexts(False).repartition(parts, "h").sortWithinPartitions("doc_id", "place")
-        spans.append(dealt.mapInArrow(_family(match, gram, batch), "doc_id long, s long, e long"))
-    if sizes.get(True):
-        windows = S.checkpoint(contexts(True).mapInArrow(_windows(match), "h long, w long, doc_id long, s long"))
+    for tier, family in ((0, _family(match, gram, batch)), (1, _hash_family(match, batch))):
+        if sizes.get(tier):
+            parts = max(-(-sizes[tier] // PART_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            spans.append(contexts(tier).repartition(parts, "h").sortWithinPartitions("doc_id", "place").mapInArrow(family, "doc_id long, s long, e long"))
+    if sizes.get(2):
+        windows = S.checkpoint(contexts(2).mapInArrow(_windows(match), "h long, w long, doc_id long, s long"))
         first = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1")
         spans.append(windows.join(first, ["h", "w"]).filter(F.struct("doc_id", "s") > F.col("first")).select("doc_id", "s", (F.col("s") + match).alias("e")))
     every = spans[0]
@@ -326,9 +368,9 @@ def repeated(docs: DataFrame, match: int = MATCH, gram: int = GRAM, crowd: int =
     return runs, runs.agg(F.sum(F.size("starts"))).first()[0] or 0
 
 
-def dedup_substrings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, crowd: int = CROWD, batch: int = BATCH, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, match: int = MATCH, gram: int = GRAM, pairs: int = PAIRS, crowd: int = CROWD, batch: int = BATCH, with_text: bool = False) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept bytes]."""
-    runs, n = repeated(docs, match, gram, crowd, batch)
+    runs, n = repeated(docs, match, gram, pairs, crowd, batch)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return _with(texts, runs, "left", n).select("doc_id", "text", "starts", "ends").mapInArrow(_cut(with_text), fields)
