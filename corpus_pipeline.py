@@ -3,7 +3,7 @@
 Every stage works on all that its predecessor kept, and all but the last return the columns of `documents`; n_chars
 follows the text. Language ID drops documents without a letter or whose language is uncertain; line dedup removes
 repeated lines and drops a document only if nothing but repeated lines was in it; near-dedup keeps the first document of
-each group; decontamination drops documents that hold benchmark passages; packing gives the pieces and their places.
+each group of documents linked by a Jaccard similarity of NEAR percent; decontamination drops documents that hold benchmark passages; packing gives the pieces and their places.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from emberlog.llm import shared as S
 
 #: Least calibrated probability of the predicted language.
 LANGUAGE_SCORE = 0.3
+#: Least Jaccard similarity, in percent, of near copies by word shingles; op2's own contract is 85.
+NEAR = 80
 
 
 def _anti(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _anti(docs, near_dedup.near_dedup(docs).filter(~F.col("kept")))
+    return _anti(docs, near_dedup.near_dedup(docs, similar=NEAR).filter(~F.col("kept")))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ largest is compared, and all get its component. An empty table gives no rows. Ot
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +27,10 @@ from pyspark.sql import functions as F
 from emberlog.llm import shared as S
 
 COORDINATES = 32
-#: A pair with Jaccard 0.85 agrees in fewer than 18 of 32 coordinates with a probability of about 1e-5.
-MATCHES = 18
-#: Coordinates of the sketch that survivors get, four bits each. At Jaccard 0.85 at least 405 agree but once in 10**5.
+#: Coordinates of the sketch that survivors get, four bits each.
 SKETCH = 512
-SKETCH_MATCHES = 405
+#: The probability that a pair at the threshold is missed by the signature; and as much by the sketch.
+MISS = 1e-5
 WIDTH = 5
 SIMILAR = 85
 BROADCAST_ROWS = 500_000
@@ -41,6 +42,23 @@ _A = _rng.integers(1, 1 << 63, COORDINATES + SKETCH, dtype=np.uint64) * np.uint6
 _B = _rng.integers(0, 1 << 63, COORDINATES + SKETCH, dtype=np.uint64)
 
 
+def agreements(similar: int, coordinates: int, chance: float = 0.0) -> int:
+    """The least agreements of `coordinates` that a pair with Jaccard `similar` percent has but for a probability nearest to MISS.
+
+    `chance` is the probability that coordinates of different minima agree.
+    """
+    p = min(similar / 100 + (1 - similar / 100) * chance, 1.0)
+    under, best = 0.0, (math.inf, 0)
+    for m in range(1, coordinates + 1):
+        under += math.comb(coordinates, m - 1) * p ** (m - 1) * (1 - p) ** (coordinates - m + 1)
+        best = min(best, (abs(math.log(max(under, 1e-300) / MISS)), m))
+    return best[1]
+
+
+def sketch_agreements(similar: int) -> int:
+    return agreements(similar, SKETCH, 1 / 16)
+
+
 def _signed(batches):
     for batch in batches:
         ids = batch.column("doc_id")
@@ -170,6 +188,8 @@ def enough(x: str, y: str, least: int) -> str:
 
 
 def _compared(similar):
+    least = sketch_agreements(similar)
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """Pairs of one block of a long list's probes with one block of its members."""
         out_a, out_b = [], []
@@ -185,7 +205,7 @@ def _compared(similar):
                 d = x[i] ^ y[j]
                 d |= d >> np.uint64(2)
                 d |= d >> np.uint64(1)
-                for j in j[np.bitwise_count(d & ones).sum(1) <= SKETCH - SKETCH_MATCHES]:
+                for j in j[np.bitwise_count(d & ones).sum(1) <= SKETCH - least]:
                     if not any(k in kb[j] for k in ka[i][: place[i]]):  # else an earlier list has the pair
                         out_a.append(min(a[i], b[j]))
                         out_b.append(max(a[i], b[j]))
@@ -228,7 +248,7 @@ def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats:
         return of.select("key", F.col("rep").alias(name[0]), F.col("n").alias("n" + name[0]), F.col("keys").alias("keys" + name[0]), F.col("place").alias("place" + name[0]), *(F.col(c).alias(name[1] + c[1:]) for c in _COLUMNS), *(F.col(c).alias(c + name[0]) for c in of.columns if c == "comp"))
 
     # a pair that shares several lists is made in the first of them alone
-    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {enough('x', 'y', SKETCH_MATCHES)} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
+    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {enough('x', 'y', sketch_agreements(similar))} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
     # round 1: each member of a list against its first member
     heads = lists.join(lists.groupBy("key").agg(F.min("rep").alias("rep")), ["key", "rep"], "left_semi")
     stars = S.checkpoint(side(heads, "ax").join(side(lists, "by"), "key").filter(f"b > a and {near}").select("a", "b").distinct())
@@ -247,8 +267,11 @@ def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats:
     return S.components(first.unionByName(second))
 
 
-def near_dedup(docs: DataFrame, matches: int = MATCHES, similar: int = SIMILAR) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
+def near_dedup(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id (smallest linked doc_id), kept.
+
+    Documents are linked if the Jaccard similarity of their shingle sets is `similar` percent at least.
+    """
     signed = S.checkpoint(signatures(docs))
     one = F.max(F.struct("key1", "key2", "n_shingles", "signature")).alias("one")
     named = S.checkpoint(signed.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(one).select("doc_id", "one.*"))
@@ -257,7 +280,7 @@ def near_dedup(docs: DataFrame, matches: int = MATCHES, similar: int = SIMILAR)
     by_set = named.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "rep")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "signature", "key1")
     repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    comp = links(docs, reps, matches, similar, repeats)
+    comp = links(docs, reps, agreements(similar, COORDINATES), similar, repeats)
     merged = by_set.join(comp, by_set["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(merged, "doc_id", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

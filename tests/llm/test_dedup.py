@@ -132,6 +132,32 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(test).collect()} == root
 
 
+def test_agreements_follow_the_threshold():
+    assert [(near_dedup.agreements(s, near_dedup.COORDINATES), near_dedup.sketch_agreements(s)) for s in (85, 80)] == [(18, 405), (15, 377)]
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    """Pairs with a Jaccard similarity in [0.80, 0.85), and others, against brute force."""
+    import corpus_pipeline
+
+    rng, docs, between = random.Random(7), [], 0
+    for d in range(0, 240, 2):
+        base = [f"w{rng.randrange(9999)}" for _ in range(rng.randint(60, 160))]
+        copy = list(base)
+        for p in rng.sample(range(8, len(base) - 8, 9), rng.choice([1, 1, 2, 2, 3])):
+            copy[p] = "x"
+        docs += [(d, " ".join(base), "x", "y"), (d + 1, " ".join(copy), "x", "y")]
+    want = set()
+    for (a, x, *_), (b, y, *_) in zip(docs[::2], docs[1::2]):
+        p, q = shingles(x), shingles(y)
+        share = 100 * len(p & q) / len(p | q)
+        between += 80 <= share < 85
+        want |= {a} if share >= 80 else {a, b}
+    assert between > 20
+    got = corpus_pipeline.stage_near(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
+    assert {r.doc_id for r in got} == want
+
+
 def removed(docs, match):
     seen, out = set(), {}
     for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
