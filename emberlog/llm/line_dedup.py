@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations alone.
 
-Lines of MIN_CHARS characters or more are compared over the whole corpus; shorter ones say too little and stay. Of equal
-lines the first (smallest doc_id, then line number) stays. The distinct lines are then joined: a line of n characters is
-cut into THRESHOLD + 1 segments, so that a line within THRESHOLD edits holds at least one of them unchanged; segments
-are posted under (length, number, text), and every line probes the lengths that it could match with the few substrings
-that the multi-match-aware rule leaves. Letter counts, which THRESHOLD edits can't change much, thin the pairs inside
-the join, and a banded bit-parallel edit distance decides. A line goes if an earlier one is within THRESHOLD edits.
+Every line that holds a word, that is a letter or digit, is compared over the whole corpus, and so is one of WORDLESS
+characters or more without any; other lines (blank ones, braces, rules) stay. Of equal lines the first (smallest doc_id,
+then line number) stays. The distinct lines are then joined. The edits that make two lines near grow with the shorter
+one: one for each PER_EDIT characters, THRESHOLD at most, so lines of fewer than PER_EDIT characters have to be equal. A
+line of n characters and t edits is cut into t + 1 segments, so that a line within t edits holds at least one of them
+unchanged; segments are posted under (length, number, text), and every line probes the lengths that it could match with
+the few substrings that the multi-match-aware rule leaves. Letter counts, which t edits can't change much, thin the
+pairs inside the join, and a banded bit-parallel edit distance decides. A line goes if an earlier one is near.
 
 Equal lines count by a 128-bit digest. Texts move only if the lists of repeated lines are too large to broadcast.
 
@@ -23,7 +25,12 @@ from pyspark.sql import functions as F
 from emberlog.llm import shared as S
 
 THRESHOLD = 2
-MIN_CHARS = 24
+#: Least length of a line that is compared.
+MIN_CHARS = 1
+#: Characters for each edit.
+PER_EDIT = 10
+#: Lines of so many characters are compared even if they hold no letter or digit.
+WORDLESS = 24
 BROADCAST_LINES = 2_000_000
 LETTERS = "etnoairsdl"
 _SCALE = 10**10  # line numbers are below it
@@ -46,7 +53,8 @@ def _unpacked(df: DataFrame, p: str, *keep: str) -> DataFrame:
 
 def eligible_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line_no, line, and the digest h1, h2 of each line that is compared."""
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.length("line") >= min_chars)
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.filter((F.length("line") >= min_chars) & ((F.length("line") >= WORDLESS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"))
 
 
@@ -57,33 +65,51 @@ def _segments(n: str, threshold: int) -> list[tuple[str, str]]:
     return [(f"({i} * {short} + greatest(0, {i} - ({k} - {longer})) + 1)", f"({short} + if({i} >= {k} - {longer}, 1, 0))") for i in range(k)]
 
 
-def _keys(threshold: int) -> tuple[str, str, int]:
+def _edits(n: str, threshold: int) -> str:
+    """SQL for the edits that a line of `n` characters may differ by from one that is as long or longer."""
+    return f"least({threshold}, {n} div {PER_EDIT})"
+
+
+def _keys(threshold: int) -> tuple[str, str, str]:
     """SQL arrays of the keys that a line is posted under, and of those that it probes; the first of these, so many, are for its own length."""
-    own = 0
-    post = [f"xxhash64(n, {i}, substring(line, {start}, {size}))" for i, (start, size) in enumerate(_segments("n", threshold))]
-    probe = []
-    for less in range(threshold + 1):  # own length first
-        for i, (start, size) in enumerate(_segments(f"(n - {less})", threshold)):
-            low = max(-i, less - (threshold - i))
-            high = min(i, less + (threshold - i))
-            probe += [f"xxhash64(n - {less}, {i}, substring(line, {start} + {d}, {size}))" for d in range(low, high + 1)]
-        own = own or len(probe)
-    return f"array({', '.join(post)})", f"array({', '.join(probe)})", own
-
-
-def _letters() -> Column:
-    """The counts of LETTERS modulo 64, packed; the letters have one byte each."""
-    total = F.lit(0).cast("long")
+
+    def post(t):
+        return f"array({', '.join(f'xxhash64(n, {i}, substring(line, {start}, {size}))' for i, (start, size) in enumerate(_segments('n', t)))})"
+
+    def probe(less, t):
+        out = []
+        for i, (start, size) in enumerate(_segments(f"(n - {less})", t)):
+            low = max(-i, less - (t - i))
+            high = min(i, less + (t - i))
+            out += [f"xxhash64(n - {less}, {i}, substring(line, {start} + {d}, {size}))" for d in range(low, high + 1)]
+        return out
+
+    def each(n, of):
+        """A choice by the edits of a line of `n` characters; most lines are long."""
+        whens = " ".join(f"when {n} >= {t * PER_EDIT} then {of(t)}" for t in range(threshold, 0, -1))
+        return f"case {whens} else {of(0)} end"
+
+    none = "cast(array() as array<bigint>)"
+    posts = each("n", lambda t: post(t) if t else none)
+    full = [k for less in range(threshold + 1) for k in probe(less, threshold)]  # own length first
+    short = [each(f"(n - {less})", lambda t, less=less: f"array({', '.join(probe(less, t))})" if t and less <= t else none) for less in range(threshold + 1)]
+    probes = f"if(n >= {threshold * (PER_EDIT + 1)}, array({', '.join(full)}), concat({', '.join(short)}))"
+    return posts, probes, each("n", lambda t: str(len(probe(0, t)) if t else 0))
+
+
+def _letters(threshold: int) -> Column:
+    """The counts of LETTERS modulo 64 and, above them, the line's edits, packed; the letters have one byte each."""
+    total = F.shiftleft(F.expr(_edits("n", threshold)).cast("long"), 6 * len(LETTERS))
     for i, c in enumerate(LETTERS):
         count = F.octet_length("line") - F.octet_length(F.expr(f"replace(line, '{c}', '')"))
         total = total + F.shiftleft((count % 64).cast("long"), 6 * i)
     return total
 
 
-def _alike(threshold: int) -> str:
-    """SQL for whether packed letter counts differ by as much as `threshold` edits can change them."""
+def _alike() -> str:
+    """SQL for whether packed letter counts differ by as much as the edits of the posted line, xa, can change them."""
     gaps = [f"abs((shiftright(xa, {6 * i}) & 63) - (shiftright(xb, {6 * i}) & 63))" for i in range(len(LETTERS))]
-    return " + ".join(f"least({g}, 64 - {g})" for g in gaps) + f" <= {2 * threshold}"
+    return " + ".join(f"least({g}, 64 - {g})" for g in gaps) + f" <= 2 * shiftright(xa, {6 * len(LETTERS)})"
 
 
 def within(x: str, y: str, threshold: int) -> Column:
@@ -134,19 +160,23 @@ def duplicates(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     # the first of each line, from the texts again
     split = _joined(texts.filter("doc_id is not null and text is not null"), exact, n_exact).select("doc_id", F.split("text", "\n").alias("lines"), F.coalesce("exact", F.expr("cast(array() as array<struct<line_no: int, h1: bigint>>)")).alias("exact"))
     kept = "array_except(sequence(0, size(lines) - 1), transform(filter(exact, e -> xxhash64(get(lines, e.line_no)) = e.h1), e -> e.line_no))"
-    ones = split.select(F.explode(F.expr(f"filter(transform({kept}, i -> lines[i]), x -> length(x) >= {min_chars})")).alias("line"))
-    ones = ones.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), _letters().alias("x"))
+    ones = split.select(F.explode(F.expr(f"filter(transform({kept}, i -> lines[i]), x -> length(x) >= {max(min_chars, PER_EDIT)} and (length(x) >= {WORDLESS} or x rlike '[\\\\p{{L}}\\\\p{{N}}]'))")).alias("line"))
+    ones = ones.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h1")).select("*", _letters(threshold).alias("x"))
     post, probe, own = _keys(threshold)
     index = ones.select(F.explode(F.expr(post)).alias("key"), F.col("h1").alias("a"), F.col("x").alias("xa"))
-    asked = ones.select(F.posexplode(F.expr(probe)).alias("at", "key"), F.col("h1").alias("b"), F.col("x").alias("xb"))
-    pairs = S.checkpoint(index.join(asked, "key").filter(f"(a < b or a > b and at >= {own}) and {_alike(threshold)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = ones.select(F.posexplode(F.expr(probe)).alias("at", "key"), F.col("h1").alias("b"), F.col("x").alias("xb"), F.expr(own).alias("own")).select((F.col("at") >= F.col("own")).alias("longer"), "key", "b", "xb")
+    pairs = S.checkpoint(index.join(asked, "key").filter(f"(a < b or a > b and longer) and {_alike()}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # the texts and first places of the few lines that have a candidate
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     found = eligible_lines(texts, min_chars).join(S.small(wanted, BROADCAST_LINES), "h1", "left_semi").groupBy("h1", "h2", "line").agg(F.min(_position("doc_id", "line_no")).alias("p"))
     found = S.checkpoint(found)
     left = found.select(F.col("h1").alias("a"), F.col("line").alias("x"), F.col("p").alias("pa"))
     right = found.select(F.col("h1").alias("b"), F.col("line").alias("y"), F.col("p").alias("pb"))
-    near = pairs.join(left, "a").join(right, "b").filter(within("x", "y", threshold))
+    edits = F.expr(_edits("least(length(x), length(y))", threshold))
+    close = F.lit(False)
+    for t in range(1, threshold + 1):
+        close = F.when(edits == t, within("x", "y", t)).otherwise(close)
+    near = pairs.join(left, "a").join(right, "b").filter(close)
     later = near.select(F.greatest("pa", "pb").alias("p"), F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct()
     near = S.checkpoint(_per_doc(_unpacked(later, "p", "h1"), "near"))
     return exact, near, n_exact + (near.agg(F.sum(F.size("near"))).first()[0] or 0)

@@ -70,6 +70,32 @@ def test_line_dedup_equals_brute_force(spark):
         assert (got[d].text, got[d].n_exact, got[d].n_near) == ("\n".join(out), exact, near)
 
 
+def test_short_lines_equal_brute_force(spark):
+    """Lines of all lengths: exact from one word on, near by one edit for each ten characters of the shorter line."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 26))) for _ in range(120)]
+    odd = ["", " ", "}", "---", "-" * 30, "5", "é", "All rights reserved."]
+    docs = [(d, "\n".join(rng.choice(odd) if rng.random() < 0.2 else changed(rng, rng.choice(base), "abcé ", rng.choice([0, 0, 1, 2])) for _ in range(rng.randint(1, 8)))) for d in range(60)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(d, t, "x", "y") for d, t in docs], SCHEMA)).collect()}
+    seen, totals = [], [0, 0]
+    for d, t in docs:
+        out, exact, near = [], 0, 0
+        for line in t.split("\n"):
+            if not any(c.isalnum() for c in line) and len(line) < 24:
+                out.append(line)
+            elif line in seen:
+                exact += 1
+            else:
+                hit = any(edit(line, s) <= min(2, min(len(s), len(line)) // 10) for s in seen)
+                near += hit
+                if not hit:
+                    out.append(line)
+                seen.append(line)
+        assert (got[d].text, got[d].n_exact, got[d].n_near) == ("\n".join(out), exact, near)
+        totals = [totals[0] + exact, totals[1] + near]
+    assert min(totals) > 20
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
