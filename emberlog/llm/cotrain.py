@@ -1,14 +1,14 @@
 """Quality classifier by co-training a text view and a page-metadata view.
 
 The text view is a logistic regression on shares of hashed byte 1- to 3-grams of the whole text; the metadata view is
-one on source, language and size. Both start from labelled documents; in each round each view labels those unlabelled
-documents that it is surest of, for the other to learn from. Held-back labelled documents then calibrate and weigh the
-views, and the combination scores every document. Fitting takes at most LABELLED labelled and POOL unlabelled
-documents, chosen by a hash.
+one on source, language and size. Both start from labelled documents, LABELLED at most, chosen by a hash; in each round
+both views score every unlabelled document on the executors, and each labels those that it is surest of, PER_ROUND of
+each class at most, for the other to learn from. Only these come to the driver. Held-back labelled documents then
+calibrate and weigh the views, and the combination scores every document.
 
 Nulls and odd rows: a null or empty text has no text features and is scored by its metadata; null metadata are a value
-of their own; a null doc_id is scored as any other and never labelled; repeated rows each get a score; a doc_id labelled
-both ways is low quality; null labels are not learned from. Without labels of both kinds every score is 1 and all are
+of their own; a null doc_id is scored as any other and counts as unlabelled; repeated rows each get a score and are
+learned from once; a doc_id labelled both ways is low quality; null labels are not learned from. Without labels of both kinds every score is 1 and all are
 kept. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -23,7 +23,8 @@ from emberlog.llm import shared as S
 from emberlog.llm.language_id import ftrl
 
 LABELLED = 3000
-POOL = 2000
+#: Chosen rows that are fetched at a time.
+BATCH = 500
 ROUNDS = 4
 BITS = 13
 META_BITS = 10
@@ -91,14 +92,19 @@ def stack(z: np.ndarray, y: np.ndarray, steps: int = 2000, l2: float = 1e-2) ->
     return np.r_[w[:-1] / scale, w[-1]]
 
 
-def co_train(views: list[list], labels: np.ndarray, sizes: list[int], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights of each view. `labels`: 0 or 1, or -1 for the unlabelled pool."""
+def co_train(views: list[list], labels: np.ndarray, sizes: list[int], rounds: int = ROUNDS, surest=None) -> list[np.ndarray]:
+    """Weights of each view. `labels`: 0 or 1, or -1 for unlabelled rows that are at hand.
+
+    `surest(weights)`, if given, returns further unlabelled rows: what each view is surest of, as (view, features of the
+    rows in each view, their class).
+    """
     known = [labels.copy() for _ in views]
+    taught: list = [([], []) for _ in views]
     weights: list = [None] * len(views)
     for r in range(rounds + 1):
         for v, rows in enumerate(views):
             at = np.flatnonzero(known[v] >= 0)
-            weights[v] = _line([rows[i] for i in at], known[v][at], sizes[v])
+            weights[v] = _line([rows[i] for i in at] + taught[v][0], np.concatenate((known[v][at], np.array(taught[v][1], known[v].dtype))), sizes[v])
         if r == rounds:
             break
         told = []
@@ -110,55 +116,122 @@ def co_train(views: list[list], labels: np.ndarray, sizes: list[int], rounds: in
                 told.append((other, free[np.argsort(-conf[free], kind="stable")][:PER_ROUND], y))
         for other, at, y in told:
             known[other][at] = y
+        for v, features, y in surest(weights) if surest else ():
+            taught[1 - v][0].append(features[1 - v])
+            taught[1 - v][1].append(y)
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict | None:
+def _rows(got: pa.Table) -> list[tuple]:
+    """The features of each row in the text view and in the metadata view."""
+    one = np.ones(3)
+    text = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(got["idx"], got["val"])]
+    meta = [(np.unique(np.asarray(m.values, np.int64)), one[: len(set(m.as_py()))]) for m in got["meta"]]
+    return list(zip(text, meta))
+
+
+FEATURES = "doc_id long, meta array<int>, label int, idx array<int>, val array<float>"
+
+
+class Unlabelled:
+    """The unlabelled rows of `docs`, in each round scored where they are."""
+
+    def __init__(self, docs: DataFrame, known: DataFrame):
+        m = metadata(docs)
+        #: A row's name: repeated rows are one.
+        self.rows = m.withColumn("key", F.xxhash64("doc_id", "text", "meta"))
+        self.known = S.small(S.checkpoint(known.select("doc_id")), 1_000_000)
+        self.told: list[set] = [set(), set()]  # by teaching view
+
+    def best(self, weights: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(view, class, key) of the rows that each view is surest of and has not told yet, by a distributed top-k."""
+        model = {"text": (100 * weights[0]).astype(np.float32), "meta": weights[1]}
+        z = self.rows.select("doc_id", "key", "text", "meta").mapInArrow(_logged(model), "doc_id long, key long, z0 double, z1 double")
+        sure = float(np.log(SURE / (1 - SURE)))
+        z = S.checkpoint(z.filter(f"abs(z0) >= {sure} or abs(z1) >= {sure}").join(self.known, "doc_id", "left_anti").select("key", "z0", "z1").distinct())
+        tops = []
+        for v in (0, 1):
+            told = z.sparkSession.createDataFrame([(k,) for k in sorted(self.told[v])], "key long")
+            free = z.join(F.broadcast(told), "key", "left_anti")
+            for y in (1, 0):
+                side = F.col(f"z{v}") if y else -F.col(f"z{v}")
+                top = free.filter(side >= sure).orderBy(side.desc(), "key").limit(PER_ROUND)
+                tops.append(top.select(F.lit(v).alias("v"), F.lit(y).alias("y"), "key"))
+        out = [(r.v, r.y, r.key) for x in tops for r in x.collect()]
+        for v, _, key in out:
+            self.told[v].add(key)
+        return out
+
+    def __call__(self, weights: list[np.ndarray]) -> list[tuple]:
+        chosen = self.best(weights)
+        keys, features = sorted({k for _, _, k in chosen}), {}
+        spark = self.rows.sparkSession
+        for i in range(0, len(keys), BATCH):
+            part = F.broadcast(spark.createDataFrame([(k,) for k in keys[i : i + BATCH]], "key long"))
+            # the row's key takes the place of its doc_id
+            rows = self.rows.join(part, "key").dropDuplicates(["key"]).select(F.col("key").alias("doc_id"), "text", "meta", F.lit(-1).alias("label"))
+            got = rows.mapInArrow(_features, FEATURES).toArrow()
+            features |= dict(zip(got["doc_id"].to_pylist(), _rows(got)))
+        return [(v, features[k], y) for v, y, k in chosen]
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict | None:
     """A model from `docs` (doc_id, text, source, lang, n_chars) and `labels` (doc_id, quality)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(pool)
-    picked = chosen.unionByName(rest.select("doc_id", F.lit(-1).alias("label")))
-    got = metadata(docs).join(F.broadcast(picked), "doc_id").mapInArrow(_features, "doc_id long, meta array<int>, label int, idx array<int>, val array<float>").limit(2 * (labelled + pool)).toArrow()
+    picked = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled)
+    got = metadata(docs).join(F.broadcast(picked), "doc_id").mapInArrow(_features, FEATURES).limit(2 * labelled).toArrow()
     order = np.lexsort([[len(x) for x in got["idx"]], got["doc_id"].to_numpy()])
     y = np.minimum(got["label"].to_numpy(), 1)[order]
     if not ((y == 0).sum() >= 5 and (y == 1).sum() >= 5):
         return None
-    one = np.ones(3)
-    text = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(got["idx"], got["val"])]
-    meta = [(np.unique(np.asarray(m.values, np.int64)), one[: len(set(m.as_py()))]) for m in got["meta"]]
-    text, meta = [text[i] for i in order], [meta[i] for i in order]
+    rows = _rows(got)
+    text, meta = [rows[i][0] for i in order], [rows[i][1] for i in order]
     at = np.arange(len(y))
-    held = (y >= 0) & (at % 4 == 3)
+    held = at % 4 == 3
     learn = at[~held]
     sizes = [1 << BITS, 1 << META_BITS]
-    w = co_train([[text[i] for i in learn], [meta[i] for i in learn]], y[learn], sizes)
+    w = co_train([[text[i] for i in learn], [meta[i] for i in learn]], y[learn], sizes, surest=Unlabelled(docs, known))
     z = np.c_[_logits([text[i] for i in at[held]], w[0]), _logits([meta[i] for i in at[held]], w[1])]
     return {"text": (100 * w[0]).astype(np.float32), "meta": w[1], "mix": stack(z, y[held]), "one": [stack(z[:, [v]], y[held]) for v in (0, 1)]}
 
 
+def _views(batch, model) -> np.ndarray:
+    """The log odds of each row in both views."""
+    data, off = S.utf8(batch.column("text"))
+    z = np.zeros((batch.num_rows, 2))
+    for i, m in enumerate(batch.column("meta").to_pylist()):
+        z[i, 1] = model["meta"][sorted(set(m))].sum()
+    for lo, hi in S.chunks(off):
+        d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        full = np.flatnonzero(np.diff(o))
+        if not len(full):
+            continue
+        total, sums = np.zeros(len(full)), np.zeros(len(full))
+        for n, g in _grams(d):
+            ok = np.ones(len(d), np.float32)
+            for j in range(1, n):  # n-grams that reach into the next row
+                ends = o[1:][full] - j
+                ok[ends[ends >= 0]] = 0
+            part = model["text"][np.concatenate((g, np.zeros(n - 1, g.dtype)))] * ok
+            sums += np.add.reduceat(part, o[:-1][full], dtype=np.float64)
+            total += np.add.reduceat(ok, o[:-1][full], dtype=np.float64)
+        z[lo + full, 0] = sums / np.maximum(total, 1)
+    return z
+
+
+def _logged(model):
+    def score(batches):
+        for batch in batches:
+            z = _views(batch, model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(z[:, 0].copy()), pa.array(z[:, 1].copy())], ["doc_id", "key", "z0", "z1"])
+
+    return score
+
+
 def _scored(model):
     def score(batches):
         for batch in batches:
-            data, off = S.utf8(batch.column("text"))
-            z = np.zeros((batch.num_rows, 2))
-            for i, m in enumerate(batch.column("meta").to_pylist()):
-                z[i, 1] = model["meta"][sorted(set(m))].sum()
-            for lo, hi in S.chunks(off):
-                d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                full = np.flatnonzero(np.diff(o))
-                if not len(full):
-                    continue
-                total, sums = np.zeros(len(full)), np.zeros(len(full))
-                for n, g in _grams(d):
-                    ok = np.ones(len(d), np.float32)
-                    for j in range(1, n):  # n-grams that reach into the next row
-                        ends = o[1:][full] - j
-                        ok[ends[ends >= 0]] = 0
-                    part = model["text"][np.concatenate((g, np.zeros(n - 1, g.dtype)))] * ok
-                    sums += np.add.reduceat(part, o[:-1][full], dtype=np.float64)
-                    total += np.add.reduceat(ok, o[:-1][full], dtype=np.float64)
-                z[lo + full, 0] = sums / np.maximum(total, 1)
+            z = _views(batch, model)
             p = [sigmoid(z[:, v] * model["one"][v][0] + model["one"][v][1]) for v in (0, 1)]
             both = sigmoid(z @ model["mix"][:2] + model["mix"][2])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in (*p, both))], ["doc_id", "p_text", "p_meta", "score"])

@@ -84,6 +84,28 @@ def test_co_training_rounds_teach_the_other_view():
     assert all(((cotrain._logits(rows[v], w[v]) > 0) == (y == 1)).all() for v in (0, 1))
 
 
+def test_co_training_reaches_every_unlabelled_document(spark, monkeypatch):
+    """The rows that each view tells are the surest of all unlabelled ones, by brute force over more than 2,000 of them."""
+    monkeypatch.setattr(cotrain, "PER_ROUND", 7)
+    rng = np.random.default_rng(4)
+    rows = [(None if d == 5 else d, " ".join(rng.choice(["ab", "cd", "xy", "qz"], 3 + d % 9)), "en", f"s{d % 40}") for d in range(3000)]
+    docs = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, lang string, source string").repartition(5)
+    known = spark.createDataFrame([(d,) for d in range(0, 3000, 10)], "doc_id long")
+    w = [rng.normal(0, 0.2, 1 << cotrain.BITS), rng.normal(0, 3, 1 << cotrain.META_BITS)]
+    pool = cotrain.Unlabelled(docs, known)
+    got = [pool.best(w), pool.best(w)]
+    model = {"text": (100 * w[0]).astype(np.float32), "meta": w[1]}
+    z = {r.key: (r.z0, r.z1) for r in pool.rows.mapInArrow(cotrain._logged(model), "doc_id long, key long, z0 double, z1 double").collect() if r.doc_id is None or r.doc_id % 10}
+    assert len(z) == 2700
+    for v in (0, 1):
+        for y, sign in ((1, 1), (0, -1)):
+            best = sorted((k for k in z if sign * z[k][v] >= np.log(19)), key=lambda k: (-sign * z[k][v], k))
+            assert len(best) > 14
+            assert [[k for a, b, k in g if (a, b) == (v, y)] for g in got] == [best[:7], best[7:14]]
+    told = pool(w)
+    assert len(told) == 28 and all(len(f) == 2 for _, f, _ in told)
+
+
 def test_url_rules_and_parts(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/12?x", "http://b.org", "http://c.org/x", "http://m.site.com/fr/2#t", "http://m.site.com/de/2", "nothing", None, "x://notexample.org/es/1", "http://com/fr/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
