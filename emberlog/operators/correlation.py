@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -57,15 +59,49 @@ def bridge(e: DataFrame, chains: DataFrame, key: str) -> DataFrame:
 
 
 def kill_chains(e: DataFrame) -> DataFrame:
-    """Rules over categories: takeover, port sweep and brute force, each for every qualifying ip."""
-    g = e.groupBy("ip").agg(F.count_if(F.col("outcome") == "failure").alias("f"), F.count_if(F.col("outcome") == "success").alias("s"), F.count_if(F.col("attack_type") == "sql_injection").alias("q"), F.count_if(F.col("attack_type") == "port_scan").alias("p"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    rules = F.array(
-        F.when((F.col("f") >= 5) & (F.col("s") >= 1), F.struct(F.lit("account_takeover").alias("rule"), F.col("f").alias("evidence"))),
-        F.when(F.col("q") >= 2, F.struct(F.lit("data_breach").alias("rule"), F.col("q").alias("evidence"))),
-        F.when(F.col("p") >= 1, F.struct(F.lit("reconnaissance").alias("rule"), F.col("p").alias("evidence"))),
-        F.when((F.col("f") >= 5) & (F.col("s") == 0), F.struct(F.lit("brute_force").alias("rule"), F.col("f").alias("evidence"))),
+    """Every user with five failures and a success, ips with two injections or a scan, and ips with five failures."""
+    count = lambda col, value, name: F.count_if(F.col(col) == value).alias(name)
+    times = [F.min("us").alias("first_us"), F.max("us").alias("last_us")]
+    users = e.groupBy(F.col("user").alias("key")).agg(count("outcome", "failure", "f"), count("outcome", "success", "s"), *times)
+    ips = e.groupBy(F.col("ip").alias("key")).agg(count("outcome", "failure", "f"), count("attack_type", "sql_injection", "q"), count("attack_type", "port_scan", "p"), *times)
+
+    def rule(of: DataFrame, cond: str, name: str, evidence: str) -> DataFrame:
+        return of.filter(cond).select("key", F.lit(name).alias("rule"), F.col(evidence).alias("evidence"), "first_us", "last_us")
+
+    rules = [rule(ips, "q >= 2", "data_breach", "q"), rule(ips, "p >= 1", "reconnaissance", "p"), rule(ips, "f >= 5", "brute_force", "f")]
+    return reduce(DataFrame.unionByName, rules, rule(users, "f >= 5 and s >= 1", "account_takeover", "f"))
+
+
+# Rule, stage, confidence
+STAGES = (("account_takeover", "initial_access", 0.9), ("privilege_escalation", "privilege_escalation", 0.75), ("ransomware", "complete", 0.9), ("webshell", "persistence", 0.8), ("bruteforce", "reconnaissance", 0.85))
+# What messages hold
+RANSOM = r"vssadmin.*delete|shadowcopy.*delete|encrypt|[.]locked|bcditedit"
+WEBSHELL = r"(?i)[.](php|asp|aspx|jsp)[?]cmd=|c99|r57|b374k|wso|eval\s*[(]"
+ADMINS = ("admin", "root", "administrator", "system")
+
+
+def source_kill_chains(e: DataFrame, category: Column, least: int = 5, admins: tuple[str, ...] = ADMINS) -> DataFrame:
+    """Chains across sources: rule, stage, key (user or ip, null for all), evidence, first_us, last_us, confidence.
+
+    A user's takeover needs `least` failures and a success in sign-in logs, from their first failure to their first
+    success; brute force `least` failures of an ip; the others are one chain each: successes of privileged users, two
+    traces of ransomware in system logs, one of a web shell in web logs.
+    """
+    e = e.withColumn("_src", category)
+    auth, system, web = (e.filter(F.col("_src") == s) for s in ("auth", "system", "web"))
+    bad, good = F.col("outcome") == "failure", F.col("outcome") == "success"
+    users = auth.groupBy(F.col("user").alias("key")).agg(F.count_if(bad).alias("evidence"), F.count_if(good).alias("s"), F.min(F.when(bad, F.col("us"))).alias("first_us"), F.min(F.when(good, F.col("us"))).alias("last_us"))
+
+    def traces(of: DataFrame, key: Column, n: int) -> DataFrame:
+        return of.groupBy(key.alias("key")).agg(F.count("*").alias("evidence"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).filter(F.col("evidence") >= n)
+
+    everyone = F.lit(None).cast("string")
+    named = reduce(lambda a, b: a | b, (F.lower("user").contains(x) for x in admins))
+    found = (
+        users.filter((F.col("evidence") >= least) & (F.col("s") > 0)).drop("s"), traces(auth.filter(good & named), everyone, 1), traces(system.filter(F.lower("message").rlike(RANSOM)), everyone, 2),
+        traces(web.filter(F.col("message").rlike(WEBSHELL)), everyone, 1), traces(auth.filter(bad), F.col("ip"), least),
     )
-    return g.select("ip", "first_us", "last_us", F.explode(F.array_compact(rules)).alias("r")).select("ip", "r.*", "first_us", "last_us")
+    return reduce(DataFrame.unionByName, (f.select(F.lit(r).alias("rule"), F.lit(s).alias("stage"), "key", "evidence", "first_us", "last_us", F.lit(c).alias("confidence")) for f, (r, s, c) in zip(found, STAGES)))
 
 
 def summary(chains: DataFrame, timeline: DataFrame) -> DataFrame:

@@ -7,15 +7,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.functions.registry import DETECTORS, PARSERS, Detector, Parser
+from emberlog.functions.registry import DETECTORS, DISPATCH, LOG_CODES, PARSERS, Detector, Parser
 
 RAW = "Custom / Raw"
 SAMPLE, FIRST = 100, 10
 
 
+def matches(line: Column, d: Detector) -> Column:
+    """Whether a line is one of the detector's."""
+    if d.keys == ("",):
+        return F.coalesce(F.json_array_length(line) > 0, F.lit(False))
+    if d.keys:
+        have = F.json_object_keys(line)
+        return F.coalesce(reduce(lambda a, b: a & b, (F.array_contains(have, k) for k in d.keys)), F.lit(False))
+    return line.rlike("^(?:" + d.pattern + ")")
+
+
 def labels_of(line: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
     """Ordinals of the detectors that match a line."""
-    return F.array_compact(F.array(*(F.when(line.rlike("^(?:" + d.pattern + ")"), i) for i, d in enumerate(detectors))))
+    return F.array_compact(F.array(*(F.when(matches(line, d), i) for i, d in enumerate(detectors))))
+
+
+def any_json(detectors: tuple[Detector, ...] = DETECTORS) -> tuple[Detector, ...]:
+    """The detectors by which every JSON object counts, twice, as a MongoDB server's."""
+    return tuple(Detector(d.label, r"\{.*\}\s*$", d.weight) if d.label == "MongoDB Server" else d for d in detectors)
+
+
+def log_code(label: Column) -> Column:
+    """The code of a detected label, `raw` if it has none."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in LOG_CODES.items() for x in p)), label), F.lit("raw"))
 
 
 def detect(lines: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
@@ -38,24 +58,62 @@ def detect(lines: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> Dat
 
 def fields_of(line: Column, parser: Parser) -> Column:
     """The parser's fields of a line as a map, null if it doesn't match; unmatched groups are left out."""
-    pairs = F.array(*(F.struct(F.lit(n).alias("k"), F.regexp_extract(line, "^(?:" + parser.pattern + ")", i + 1).alias("v")) for i, n in enumerate(parser.fields)))
-    return F.when(line.rlike("^(?:" + parser.pattern + ")"), F.map_from_entries(F.filter(pairs, lambda p: p["v"] != "")))
+    if parser.paths:
+        values = [F.get_json_object(line, p) for p in parser.paths]
+        fits = F.json_object_keys(line).isNotNull() if not parser.paths[0].startswith("$[0]") else F.get_json_object(line, "$[0][0]").isNotNull()
+    elif parser.columns:
+        cut = F.split(line, ",")
+        values = [F.trim(F.get(cut, F.lit(i))) for i in range(len(parser.fields))]
+        fits = line.rlike("^(?:" + parser.pattern + ")") & (F.size(cut) >= parser.columns)
+    else:
+        values = [F.regexp_extract(line, "^(?:" + parser.pattern + ")", i + 1) for i in range(len(parser.fields))]
+        fits = line.rlike("^(?:" + parser.pattern + ")")
+    pairs = F.array(*(F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in zip(parser.fields, values)))
+    return F.when(fits, F.map_from_entries(F.filter(pairs, lambda p: p["v"] != "")))
+
+
+# Forms of pairs, of addresses and of other fields that lines hold, in order; the first value of a key wins
+PAIRS = (r"(\w+)=([^,\s]+)", r"(\w+):\s*([^,\s]+)", r'"(\w+)":\s*"([^"]+)"', r'"(\w+)":\s*(\d+)')
+OTHER_FIELDS = (
+    ("src_ip", r"(?i)SRC[=_]((?:\d{1,3}\.){3}\d{1,3})"), ("dst_ip", r"(?i)DST[=_]((?:\d{1,3}\.){3}\d{1,3})"), ("src_ip", r"(?i)from\s+((?:\d{1,3}\.){3}\d{1,3})"),
+    ("dst_ip", r"(?i)to\s+((?:\d{1,3}\.){3}\d{1,3})"), ("ip", r"((?:\d{1,3}\.){3}\d{1,3})"),
+    ("user", r"(?i)user[=:\s]+(\w+)"), ("user", r"(?i)account[=:\s]+(\w+)"), ("user", r"(?i)for\s+(\S+)\s+from"),
+    ("status", r"\s(\d{3})\s"), ("status", r"status[=:](\d+)"), ("method", r"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"), ("service", r"((?!\d+\b)\w+)(?:\[\d+\])?:"),
+)
 
 
 def generic_fields(line: Column) -> Column:
-    """Key=value pairs, and the first ip, for lines that no parser reads."""
-    from emberlog.operators.labels import key_values
-
-    ip = F.regexp_extract(line, r"\b((?:\d{1,3}\.){3}\d{1,3})\b", 1)
-    kv = key_values(line)
-    return F.when((ip != "") & ~F.map_contains_key(kv, "ip"), F.map_concat(kv, F.create_map(F.lit("ip"), ip))).otherwise(kv)
+    """Pairs in four forms, addresses, user, status, method and service of lines that no parser reads."""
+    found = [F.arrays_zip(F.transform(F.regexp_extract_all(line, F.lit(p), 1), lambda k: F.lower(k)).alias("k"), F.regexp_extract_all(line, F.lit(p), 2).alias("v")) for p in PAIRS]
+    found = [F.transform(x, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))) for x in found]
+    other = F.array(*(F.struct(F.lit(n).alias("k"), F.regexp_extract(line, p, 1).alias("v")) for n, p in OTHER_FIELDS))
+    every = F.concat(*found, F.filter(other, lambda p: p["v"] != ""))
+    first = F.transform(F.array_distinct(F.transform(every, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(every, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))
+    return F.map_from_entries(first)
+
+
+def parsers_for(label: Column, parsers: tuple[Parser, ...] = PARSERS) -> dict[tuple[str, ...], Column]:
+    """Chains of parsers and the condition on the label that selects each: equal to a name of the table, or else holding one."""
+    by_name = {p.label for p in parsers}
+    table = [(n, tuple(x for x in c if x in by_name)) for n, c in DISPATCH.items()]
+    table = [(n, c) for n, c in table if c]
+    exact = reduce(lambda c, x: c.when(label == x[0], x[0]), table[1:], F.when(label == table[0][0], table[0][0]))
+    part = reduce(lambda c, x: c.when(F.lower(label).contains(x[0].lower()), x[0]), table[1:], F.when(F.lower(label).contains(table[0][0].lower()), table[0][0]))
+    name = F.coalesce(exact, part)
+    chains: dict[tuple[str, ...], list[str]] = {}
+    for n, c in table:
+        chains.setdefault(c, []).append(n)
+    return {c: name.isin(*names) for c, names in chains.items()}
 
 
 def parse(lines: DataFrame, types: DataFrame, parsers: tuple[Parser, ...] = PARSERS) -> DataFrame:
-    """Lines with log_type and fields: the source's parser first, then generic fields."""
+    """Lines with log_type, log_code and fields: the parsers of the source's type first, then generic fields."""
     typed = lines.join(types.select("source", "log_type"), "source")  # one row a source
-    chosen = reduce(lambda c, p: c.when(F.col("log_type") == p.label, fields_of(F.col("line"), p)), parsers[1:], F.when(F.col("log_type") == parsers[0].label, fields_of(F.col("line"), parsers[0])))
-    return typed.withColumn("_f", chosen).withColumn("parsed", F.col("_f").isNotNull()).withColumn("fields", F.coalesce("_f", generic_fields(F.col("line")))).drop("_f")
+    spec, line = {p.label: p for p in parsers}, F.col("line")
+    whens = [(cond, F.coalesce(*(fields_of(line, spec[x]) for x in chain))) for chain, cond in parsers_for(F.col("log_type"), parsers).items()]
+    chosen = reduce(lambda c, x: c.when(*x), whens[1:], F.when(*whens[0]))
+    out = typed.withColumn("_f", chosen).withColumn("parsed", F.col("_f").isNotNull()).withColumn("fields", F.coalesce("_f", generic_fields(line))).drop("_f")
+    return out.withColumn("log_code", log_code(F.col("log_type")))
 
 
 def timestamps(raw: Column, year: int) -> Column:

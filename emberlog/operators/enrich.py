@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Log type to category
-CATEGORIES = {"apache": "web", "nginx": "web", "iis": "web", "sshd": "auth", "windows_security": "auth", "mysql": "database", "postgres": "database", "iptables": "firewall", "ufw": "firewall", "syslog": "system", "postfix": "mail", "dns": "network"}
+# Categories and the codes of their log types
+CATEGORY_CODES = {
+    "auth": ("ssh_auth", "pam", "vsftpd", "proftpd"),
+    "web": ("apache", "nginx", "iis", "django", "flask", "rails", "express", "fastapi", "gunicorn", "uvicorn"),
+    "database": (
+        "mysql_error", "mysql_query", "mysql_slow", "postgres_error", "postgres_auth", "postgres_statement", "oracle_alert", "oracle_listener", "oracle_audit",
+        "sqlserver_error", "sqlserver_audit", "sqlserver_transaction", "mongodb_server", "mongodb_audit",
+    ),
+    "firewall": ("iptables", "ufw", "nftables", "firewalld", "windows_firewall", "palo_alto", "fortigate", "cisco_asa", "checkpoint", "aws_vpc_flow", "azure_nsg", "gcp_vpc"),
+    "system": ("syslog", "systemd", "kernel", "audit", "package", "cron", "daemon", "windows_security", "windows_system", "windows_application"),
+    "mail": ("postfix", "sendmail", "exim", "dovecot", "exchange"),
+    "network": ("dns", "dhcp", "proxy"),
+}
+CATEGORIES = {code: name for name, codes in CATEGORY_CODES.items() for code in codes}
 
 
 def category(log_type: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.attacks import CATEGORY_ATTACKS, LOG_CATEGORIES, MITRE_IDS, ORDERED_CLASSES
+
 # Attack type, weight, patterns (case-insensitive)
 ATTACK_RULES = (
     ("bruteforce", 0.85, ("Failed password", "authentication failure", "authentication failed", "Invalid user", "too many failed attempts", "SASL.*failed")),
@@ -57,7 +59,22 @@ def best_category(text: Column, configs) -> Column:
     return F.when(best["score"] >= 0.3, best)
 
 
-def ordered_class(text: Column, configs) -> tuple[Column, Column]:
+def log_category(log_type: Column) -> Column:
+    """The category of a detected log type by the first pattern that its name holds, else generic."""
+    low = F.lower(log_type)
+    return reduce(lambda c, x: c.when(low.rlike(x[1]), x[0]), LOG_CATEGORIES[1:], F.when(low.rlike(LOG_CATEGORIES[0][1]), LOG_CATEGORIES[0][0])).otherwise("generic")
+
+
+def category_attack(text: Column, category: Column) -> Column:
+    """The struct (score, type) of the best attack among those of the row's category, null if none is found."""
+    of: dict[str, list] = {}
+    for name, kind, weight, patterns in CATEGORY_ATTACKS:
+        of.setdefault(name, []).append((kind, weight, patterns))
+    whens = [(category == name, best_category(text, configs)) for name, configs in of.items()]
+    return reduce(lambda c, x: c.when(*x), whens[1:], F.when(*whens[0]))
+
+
+def ordered_class(text: Column, configs=ORDERED_CLASSES) -> tuple[Column, Column]:
     """The first type with a match and min(0.5 + 0.15 matches, 0.95)."""
     n = [reduce(lambda a, b: a + b, (text.rlike("(?i)" + p).cast("int") for p in ps)) for _, ps in configs]
     kind = reduce(lambda c, x: c.when(x[1] > 0, x[0][0]), list(zip(configs, n))[1:], F.when(n[0] > 0, configs[0][0]))
@@ -74,6 +91,12 @@ def with_mitre(labelled: DataFrame) -> DataFrame:
     return labelled.join(_table(labelled.sparkSession, MITRE, "attack_type string, tactic string, technique string"), "attack_type", "left")
 
 
+def with_mitre_ids(labelled: DataFrame) -> DataFrame:
+    """Left join of the tactic and technique ids of attack_type, as arrays."""
+    ids = _table(labelled.sparkSession, MITRE_IDS, "attack_type string, tactics string, techniques string")
+    return labelled.join(ids.select("attack_type", F.split("tactics", ",").alias("tactics"), F.split("techniques", ",").alias("techniques")), "attack_type", "left")
+
+
 def recommendations(labelled: DataFrame, most: int = 10) -> DataFrame:
     """Distinct advice for the attack types seen, the most frequent first."""
     seen = labelled.groupBy("attack_type").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("port"), F.col("event_type").alias("action"), F.round(F.col("value") * 100).cast("long").alias("cents"),
         F.when(bad, "failure").when(F.col("event_type").isin("signup", "purchase"), "success").otherwise("unknown").alias("outcome"),
         F.when(bad & (k >= 80), "critical").when(bad, "error").when(F.col("event_type") == "purchase", "warning").otherwise("info").alias("severity"),
-        F.element_at(F.array(*map(F.lit, ("apache", "sshd", "mysql", "iptables"))), (F.pmod("user_id", F.lit(4)) + 1).cast("int")).alias("log_type"),
+        F.element_at(F.array(*map(F.lit, ("apache", "ssh_auth", "mysql_error", "iptables"))), (F.pmod("user_id", F.lit(4)) + 1).cast("int")).alias("log_type"),
         F.when(bad & (k % 5 == 0), "bruteforce").when((F.col("event_type") == "click") & (k % 25 == 0), "sql_injection").when((F.col("event_type") == "view") & (k % 40 == 0), "port_scan").alias("attack_type"),
         ((k % 5) * 10 + 50).cast("long").alias("confidence"), (F.col("value") >= 30).alias("is_anomaly"),
     )
@@ -27,7 +27,7 @@ SQL = """WITH e AS (
     CAST(round(value * 100) AS BIGINT) AS cents,
     CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type IN ('signup', 'purchase') THEN 'success' ELSE 'unknown' END AS outcome,
     CASE WHEN event_type = 'error' AND (props->>'$.k')::INTEGER >= 80 THEN 'critical' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'warning' ELSE 'info' END AS severity,
-    CASE user_id % 4 WHEN 0 THEN 'apache' WHEN 1 THEN 'sshd' WHEN 2 THEN 'mysql' ELSE 'iptables' END AS log_type,
+    CASE user_id % 4 WHEN 0 THEN 'apache' WHEN 1 THEN 'ssh_auth' WHEN 2 THEN 'mysql_error' ELSE 'iptables' END AS log_type,
     CASE WHEN event_type = 'error' AND (props->>'$.k')::INTEGER % 5 = 0 THEN 'bruteforce' WHEN event_type = 'click' AND (props->>'$.k')::INTEGER % 25 = 0 THEN 'sql_injection'
       WHEN event_type = 'view' AND (props->>'$.k')::INTEGER % 40 = 0 THEN 'port_scan' END AS attack_type,
     CAST((props->>'$.k')::INTEGER % 5 * 10 + 50 AS BIGINT) AS confidence, value >= 30 AS is_anomaly

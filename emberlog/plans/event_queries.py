@@ -171,7 +171,7 @@ def ip_risk(e):
 @_query(" SELECT ip AS key, count(*) AS n, count(*) FILTER (WHERE outcome = 'failure') AS failed, round(1 - count(*) FILTER (WHERE outcome = 'failure') / count(*), 6) AS success_rate FROM e GROUP BY 1")
 def merged_counters(e):
     """Partial counters of each log type, merged by ip."""
-    parts = [e.filter(F.col("log_type") == t).groupBy(F.col("ip").alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failed")) for t in ("apache", "sshd", "mysql", "iptables")]
+    parts = [e.filter(F.col("log_type") == t).groupBy(F.col("ip").alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failed")) for t in ("apache", "ssh_auth", "mysql_error", "iptables")]
     return A.merge(parts)
 
 
@@ -231,9 +231,9 @@ def anomalous_without_attack(e):
     return e.filter("is_anomaly").select("user", "ip").subtract(e.filter("attack_type is not null").select("user", "ip"))
 
 
-@_query(""" SELECT 'web' AS source, count(*) AS n FROM e WHERE log_type = 'apache' UNION ALL SELECT 'auth', count(*) FROM e WHERE log_type = 'sshd'""")
+@_query(""" SELECT 'web' AS source, count(*) AS n FROM e WHERE log_type = 'apache' UNION ALL SELECT 'auth', count(*) FROM e WHERE log_type = 'ssh_auth'""")
 def union_sources(e):
-    tagged = e.filter("log_type = 'apache'").withColumn("source", F.lit("web")).unionByName(e.filter("log_type = 'sshd'").withColumn("source", F.lit("auth")))
+    tagged = e.filter("log_type = 'apache'").withColumn("source", F.lit("web")).unionByName(e.filter("log_type = 'ssh_auth'").withColumn("source", F.lit("auth")))
     return tagged.groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -246,12 +246,12 @@ def dedupe_on_key(e):
 # ---- joins
 
 
-@_query(f""", a AS (SELECT id, us FROM e WHERE log_type = 'apache' AND action = 'error'), b AS (SELECT id, us FROM e WHERE log_type = 'mysql'),
+@_query(f""", a AS (SELECT id, us FROM e WHERE log_type = 'apache' AND action = 'error'), b AS (SELECT id, us FROM e WHERE log_type = 'mysql_error'),
 j AS (SELECT a.id AS left_id, b.id AS right_id, b.us - a.us AS gap_us, row_number() OVER (PARTITION BY a.id ORDER BY b.us, b.id) AS r FROM a JOIN b ON b.us > a.us AND b.us - a.us < {HOUR})
 SELECT left_id, right_id, gap_us FROM j WHERE r = 1""")
 def web_database_chain(e):
     """Web errors with the first database entry within an hour after."""
-    return C.interval_chains(e.filter("log_type = 'apache' and action = 'error'"), e.filter("log_type = 'mysql'"), HOUR)
+    return C.interval_chains(e.filter("log_type = 'apache' and action = 'error'"), e.filter("log_type = 'mysql_error'"), HOUR)
 
 
 @_query(""", g AS (SELECT DISTINCT ip, CASE WHEN CAST(split_part(ip, '.', 4) AS INTEGER) % 3 = 0 THEN 'LOCAL' ELSE 'N' || CAST(split_part(ip, '.', 4) AS INTEGER) % 7 END AS country FROM e WHERE CAST(split_part(ip, '.', 4) AS INTEGER) % 5 <> 0)
@@ -332,9 +332,10 @@ def uncovered_user_attacks(e):
     return e.filter("attack_type is not null").join(covered, "id", "left_anti").groupBy("user").agg(F.count("*").alias("n"))
 
 
-@_query(""", g AS (SELECT ip, count(*) FILTER (WHERE outcome = 'failure') AS f, count(*) FILTER (WHERE outcome = 'success') AS s, count(*) FILTER (WHERE attack_type = 'sql_injection') AS q, count(*) FILTER (WHERE attack_type = 'port_scan') AS p, min(us) AS first_us, max(us) AS last_us FROM e GROUP BY ip)
-SELECT ip, 'account_takeover' AS rule, f AS evidence, first_us, last_us FROM g WHERE f >= 5 AND s >= 1 UNION ALL SELECT ip, 'data_breach', q, first_us, last_us FROM g WHERE q >= 2
-UNION ALL SELECT ip, 'reconnaissance', p, first_us, last_us FROM g WHERE p >= 1 UNION ALL SELECT ip, 'brute_force', f, first_us, last_us FROM g WHERE f >= 5 AND s = 0""")
+@_query(""", g AS (SELECT ip AS key, count(*) FILTER (WHERE outcome = 'failure') AS f, count(*) FILTER (WHERE attack_type = 'sql_injection') AS q, count(*) FILTER (WHERE attack_type = 'port_scan') AS p, min(us) AS first_us, max(us) AS last_us FROM e GROUP BY ip),
+u AS (SELECT "user" AS key, count(*) FILTER (WHERE outcome = 'failure') AS f, count(*) FILTER (WHERE outcome = 'success') AS s, min(us) AS first_us, max(us) AS last_us FROM e GROUP BY 1)
+SELECT key, 'account_takeover' AS rule, f AS evidence, first_us, last_us FROM u WHERE f >= 5 AND s >= 1 UNION ALL SELECT key, 'data_breach', q, first_us, last_us FROM g WHERE q >= 2
+UNION ALL SELECT key, 'reconnaissance', p, first_us, last_us FROM g WHERE p >= 1 UNION ALL SELECT key, 'brute_force', f, first_us, last_us FROM g WHERE f >= 5""")
 def kill_chains(e):
     return C.kill_chains(e)
 
@@ -370,7 +371,7 @@ def isolation_forest_scores(e):
 # ---- enrichment, gates and feedback
 
 
-@_query(""" SELECT CASE log_type WHEN 'apache' THEN 'web' WHEN 'sshd' THEN 'auth' WHEN 'mysql' THEN 'database' WHEN 'iptables' THEN 'firewall' ELSE 'other' END AS category, severity, count(*) AS n FROM e GROUP BY ALL""")
+@_query(""" SELECT CASE log_type WHEN 'apache' THEN 'web' WHEN 'ssh_auth' THEN 'auth' WHEN 'mysql_error' THEN 'database' WHEN 'iptables' THEN 'firewall' ELSE 'other' END AS category, severity, count(*) AS n FROM e GROUP BY ALL""")
 def category_severity(e):
     return e.groupBy(N.category(F.col("log_type")).alias("category"), "severity").agg(F.count("*").alias("n"))
 
