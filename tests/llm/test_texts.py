@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -16,19 +17,21 @@ STRANGE = ["", None, "<|endoftext|> a", "\u00a0x\u2003y \t\n\n z", "日本語 
 
 
 def test_ids_are_those_of_the_tokenizer_file(spark):
+    """Strange texts and every document of a table, by the contract's reader."""
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
-    texts = STRANGE + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect()]
-    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
-    got = packing.pack(docs, with_ids=True).collect()
-    for i, t in enumerate(texts):
-        want = [*hf.encode(t or "", add_special_tokens=False).ids, 2]
-        parts = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+    texts = STRANGE + [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    by = {}
+    for r in packing.pack(docs, with_ids=True).collect():
+        by.setdefault(r.doc_id, []).append(r)
+    for i, e in enumerate(hf.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        want = [*e.ids, 2]
+        parts = sorted(by[i], key=lambda r: r.piece)
         assert [x for r in parts for x in r.ids] == want
         assert [r.start for r in parts] == list(np.cumsum([0] + [r.length for r in parts])[:-1])
-        assert len(parts) == -(-len(want) // 1024)
+        assert len(parts) == -(-len(want) // 1024) and all(r.length == 1024 for r in parts[1:])
         assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in parts)
-    check_places(got, 1024)
+    check_places([r for rs in by.values() for r in rs], 1024)
 
 
 def check_places(rows, capacity):
@@ -44,27 +47,42 @@ def check_places(rows, capacity):
     return len(by)
 
 
-def test_segment_tree_finds_the_tightest_sequence():
-    rng = random.Random(1)
-    for capacity in (7, 64, 1024):
-        lengths = np.array(sorted((rng.randint(1, capacity) for _ in range(500)), reverse=True))
-        seq, offset = packing.best_fit_decreasing(lengths, capacity)
-        used = []
-        for i, n in enumerate(lengths):
-            fits = [(capacity - u - n, k) for k, u in enumerate(used) if capacity - u >= n]
-            if fits:  # the same room as the tightest; equals may differ
-                assert offset[i] + min(fits)[0] + n == capacity
-            else:
-                used.append(0)
-            assert used[seq[i]] == offset[i]
-            used[seq[i]] += n
+def one_by_one(lengths, capacity):
+    """Rooms left by best-fit decreasing, piece by piece."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return sorted(rooms)
 
 
-def test_packing_is_near_the_bound(spark):
-    rows = packing.op6_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
-    assert check_places(rows, 1024) <= 1.01 * -(-sum(r.length for r in rows) // 1024)
-    grouped = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), group=50).collect()
-    check_places(grouped, 1024)
+def test_patterns_are_those_of_best_fit_piece_by_piece():
+    rng = random.Random(1)
+    for capacity in (1, 7, 64, 1024):
+        for most in (capacity, max(1, capacity // 5)):
+            lengths = [rng.randint(1, most) for _ in range(400)]
+            patterns = packing.best_fit_decreasing(dict(Counter(lengths)), capacity)
+            assert Counter(x for n, p in patterns for x, _ in p for _ in range(n)) == Counter(lengths)
+            for _, p in patterns:
+                assert [o for _, o in p] == list(np.cumsum([0] + [x for x, _ in p])[:-1])
+            assert sorted(capacity - sum(x for x, _ in p) for n, p in patterns for _ in range(n)) == one_by_one(lengths, capacity)
+    assert packing.best_fit_decreasing({}, 8) == []
+
+
+def test_one_packing_of_the_whole_table(spark):
+    """As few sequences as best fit over all pieces leaves, in however many blocks they are ranked."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for block in (100_000, 70):
+        rows = packing.pack(docs, block=block).collect()
+        assert check_places(rows, 1024) == len(one_by_one([r.length for r in rows], 1024))
+    odd = [(1, "a b", "x", "y"), (1, "a b", "x", "y"), (None, "c", "x", "y"), (None, None, "x", "y"), (2, "", "x", "y"), (3, "z " * 3000, "x", "y")]
+    rows = packing.pack(spark.createDataFrame(odd, SCHEMA), capacity=64).collect()
+    check_places(rows, 64)
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == {1: 2, None: 2, 2: 1, 3: 1}
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
