@@ -1,24 +1,26 @@
 """Benchmark decontamination by q-gram lemma filtering in diagonal bands and banded alignment.
 
 Texts are normalised (lower case; anything but letters and digits becomes one blank). Every benchmark item is cut into
-overlapping windows of WINDOW characters (an item of up to that length is one window), and a document is contaminated
-by an item if some stretch of it is within the edit budget, RATE of the window's length, of one of its windows. A
-window with m characters and budget e shares at least m - Q + 1 - Q * e of its q-grams with such a stretch, on
+windows of WINDOW characters at every STEP (an item of up to WINDOW is one window), so that an excerpt of WINDOW + STEP
+characters holds one wholly, and a document is contaminated by an item if some stretch of it is within the edit budget,
+RATE of the window's length, of one of its windows. An item of fewer than Q characters has no q-gram and contaminates
+the documents that are equal to it. A window with m characters and budget e shares at least m - Q + 1 - Q * e of its q-grams with such a stretch, on
 diagonals that span at most e: shared q-grams are counted in overlapping bands of diagonals, bands that reach the bound
 are candidates, and a banded alignment with free ends decides.
 
-The windows are held in memory in blocks of at most BLOCK; a larger benchmark takes one pass over the documents for
-each block. Documents are never moved.
+The windows are held in memory in blocks of at most BLOCK; a larger benchmark takes one more step over the documents
+for each block. Documents are never moved. Where many windows share a text's q-grams, the text is searched in
+overlapping halves until the postings at hand are few, so memory is bounded.
 
-Nulls and odd rows: a null or empty text is clean; a null or short item (under SHORTEST normalised characters) matches
-nothing; a null doc_id is judged as any other row; repeated rows each get their verdict; repeated item_ids are one
-item. An empty benchmark leaves all clean. Whole texts are read. Other columns are ignored.
+Nulls and odd rows: a null or empty text is clean; a null or empty item matches nothing; the item with a null item_id is
+reported as null, after the others; a null doc_id is judged as any other row; repeated rows each get their verdict;
+repeated item_ids are one item. An empty benchmark leaves all clean. Whole texts are read. Other columns are ignored, or
+passed on if asked for.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ from emberlog.llm import shared as S
 Q = 12
 WINDOW = 100
 RATE = 0.06
-SHORTEST = 24
+STEP = 25
 BLOCK = 50_000
+#: Postings at hand at a time, beyond which a text is halved.
+MOST = 2_000_000
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -49,16 +53,14 @@ def budget(m: int, rate: float) -> int:
     return max(0, min(int(rate * m), (m - Q) // Q))
 
 
-def _windows(window):
+def _windows(window, step):
     def cut(batches):
         for batch in batches:
             ids, out = [], []
             for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 t = normalised(t)
-                if len(t) < SHORTEST:
-                    continue
                 last = max(0, len(t) - window)
-                for a in sorted({*range(0, last, window // 2), last}):
+                for a in sorted({*range(0, last, step), last}) if t else ():
                     ids.append(i)
                     out.append(t[a : a + window])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["item_id", "window"])
@@ -78,13 +80,20 @@ def _grams(c: np.ndarray) -> np.ndarray:
 class Index:
     """Postings of the windows' q-grams."""
 
-    def __init__(self, windows: list[tuple[int, str]], rate: float):
-        self.items = np.array([i if i is not None else -1 for i, _ in windows], np.int64)
+    def __init__(self, windows: list[tuple[int | None, str]], rate: float):
+        #: items whose whole text is too short for a q-gram, by text
+        self.short: dict[str, set] = {}
+        for i, w in windows:
+            if len(w) < Q:
+                self.short.setdefault(w, set()).add(i)
+        windows = [x for x in windows if len(x[1]) >= Q]
+        self.items = [i for i, _ in windows]
         self.codes, self.off = codes([w for _, w in windows])
         self.size = np.diff(self.off)
         self.edits = np.array([budget(m, rate) for m in self.size.tolist()], np.int64)
         self.least = self.size - Q + 1 - Q * self.edits
-        at = np.concatenate([np.arange(a, b - Q + 1) for a, b in zip(self.off[:-1], self.off[1:])])
+        self.reach = int((self.size + self.edits).max()) if windows else 0
+        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b - Q + 1) for a, b in zip(self.off[:-1], self.off[1:]))])
         h = _grams(self.codes)[at]
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -93,8 +102,10 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.hash >> np.uint64(42)] = True
 
-    def matches(self, c: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, c: np.ndarray, off: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
         """(row, window) pairs of texts laid end to end in `c` that hold a stretch within the window's budget."""
+        if not self.items:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         h = _grams(c)
         at = np.flatnonzero(self.bits[h >> np.uint64(42)]) if len(h) else np.zeros(0, np.int64)
         lo = np.searchsorted(self.hash, h[at], "left")
@@ -102,6 +113,10 @@ class Index:
         row = np.searchsorted(off, at, "right") - 1
         ok = (n > 0) & (at + Q <= off[row + 1])
         at, lo, n, row = at[ok], lo[ok], n[ok], row[ok]
+        if n.sum() > most and (halves := self._halves(c, off)):
+            found = [(r + first, w) for cut, o, first in halves for r, w in [self.matches(cut, o, most)]]
+            pairs = np.unique(np.concatenate([np.stack(x, 1) for x in found]), axis=0)
+            return pairs[:, 0], pairs[:, 1]
         post = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else lo, n) + np.arange(n.sum())
         at, row = np.repeat(at, n), np.repeat(row, n)
         win, place = self.owner[post], self.place[post]
@@ -118,6 +133,17 @@ class Index:
         ok = self.aligned(c, off, row, win, band)
         return row[ok], win[ok]
 
+    def _halves(self, c: np.ndarray, off: np.ndarray):
+        """The rows in two halves; a single row in two parts that overlap by the longest stretch; none if it is short."""
+        k = len(off) - 1
+        if k > 1:
+            m = k // 2
+            return [(c[: off[m]], off[: m + 1], 0), (c[off[m] :], off[m:] - off[m], m)]
+        if len(c) < 4 * self.reach:
+            return None
+        m = len(c) // 2
+        return [(x, np.array([0, len(x)]), 0) for x in (c[: m + self.reach], c[m - self.reach :])]
+
     def aligned(self, c, off, row, win, band) -> np.ndarray:
         """Whether each candidate's banded alignment, free at both ends of the text, is within the budget."""
         good = np.zeros(len(row), bool)
@@ -139,41 +165,52 @@ class Index:
         return good
 
 
-def _judged(windows, rate):
+def _judged(windows, rate, most):
+    """Adds the block's items to the `items` of each row; all columns pass."""
+
     def judge(batches):
         index = Index(windows.value, rate)
         for batch in batches:
             col = batch.column("text")
             _, sizes = S.utf8(col)
-            hits: list = [[] for _ in range(batch.num_rows)]
+            hits: list = [set(x or ()) for x in batch.column("items").to_pylist()]
             for lo, hi in S.chunks(sizes, S.CHUNK_BYTES // 2):
-                c, off = codes([normalised(t) for t in col.slice(lo, hi - lo).to_pylist()])
-                for r, w in zip(*index.matches(c, off)):
-                    hits[lo + r].append(int(index.items[w]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(set(x)) for x in hits], pa.list_(pa.int64()))], ["doc_id", "items"])
+                texts = [normalised(t) for t in col.slice(lo, hi - lo).to_pylist()]
+                for r, t in enumerate(texts):
+                    if index.short and len(t) < Q:
+                        hits[lo + r] |= index.short.get(t, set())
+                for r, w in zip(*index.matches(*codes(texts), most)):
+                    hits[lo + r].add(index.items[w])
+            out = pa.array([sorted(x, key=lambda i: (i is None, i)) for x in hits], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(out if n == "items" else batch.column(n) for n in batch.schema.names)], batch.schema.names)
 
     return judge
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, contaminated, and the item_ids of `benchmark` (item_id, text) found."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cut = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_windows(window), "item_id long, window string").distinct()
+def judged(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int = WINDOW, step: int = STEP, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """`docs` (text, items array<bigint>, ...) with the item_ids of `benchmark` (item_id, text) found in `items`."""
+    cut = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_windows(window, step), "item_id long, window string").distinct()
+    cut = S.checkpoint(cut)
     blocks = -(-cut.count() // block)
-    if blocks == 0:
-        return texts.select("doc_id", F.lit(False).alias("contaminated"), F.expr("cast(array() as array<bigint>)").alias("item_ids"))
-    found = []
     for b in range(blocks):  # each block's size is bounded, whatever the benchmark's
         part = cut.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == b) if blocks > 1 else cut
-        rows = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+        rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
         if rows.value:
-            found.append(texts.mapInArrow(_judged(rows, rate), "doc_id long, items array<bigint>"))
-    if len(found) > 1:
-        every = reduce(DataFrame.unionByName, found)
-        found = [every.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))]
-        found = [texts.select("doc_id").join(found[0], F.expr("true") & texts["doc_id"].eqNullSafe(found[0]["doc_id"])).select(texts["doc_id"], "items")]
-    return found[0].select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"))
+            docs = docs.mapInArrow(_judged(rows, rate, most), docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, contaminated, and the item_ids of `benchmark` (item_id, text) found."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    return judged(rows, benchmark, **options).select("doc_id", (F.size("items") > 0).alias("contaminated"), F.col("items").alias("item_ids"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` (text, ...), with all their columns, in which no item of `benchmark` is found."""
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("text", F.col(f"c{names.index('text')}").cast("string")).withColumn("items", F.expr("cast(array() as array<bigint>)"))
+    return judged(inner, benchmark, **options).filter(F.size("items") == 0).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op8_decontamination(spark, sf_dir) -> DataFrame:

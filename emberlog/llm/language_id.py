@@ -3,12 +3,14 @@
 A text is lower-cased, everything but letters becomes a blank, and its character 1- to 3-grams are hashed into BUCKETS
 features; a feature's weight is its share of the text's n-grams times its inverse document frequency. Document
 frequencies are counted over all training documents. The regression is fitted by follow-the-regularised-leader (FTRL
-proximal) with elastic-net penalties on at most SAMPLE training documents a language, chosen by a hash, and a
-temperature is then fitted on the part of that sample that the regression has not seen.
+proximal) with elastic-net penalties on at most SAMPLE training documents a language, chosen by a hash of their texts,
+and a temperature is then fitted on the part of that sample that the regression has not seen. Every language with a
+training document is learned; the model grows with their number.
 
 Nulls and odd rows: a null text, or one without a letter, is `und` with score 0. A null lang is not learned from. A null
-doc_id counts as a training document if it has a lang, and is returned as any other row. Repeated rows count
-repeatedly. Without any training document every text is `und`. Texts are read whole. Other columns are ignored.
+doc_id counts as a training document if it has a lang, and is returned as any other row. Repeated rows count repeatedly
+in the document frequencies and once in the fit, as do equal texts of a language. Without any training document every
+text is `und`. Texts are read whole. Other columns are ignored, or passed on if asked for.
 """
 
 from __future__ import annotations
@@ -17,22 +19,27 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.llm import shared as S
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Training documents a language at most, and languages at most (the most frequent), that the regression is fitted on.
+#: Training documents a language at most that the regression is fitted on.
 SAMPLE = 800
-LANGUAGES = 200
 EPOCHS = 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII = re.compile(r"[A-Za-z]")
 _BLANK = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of a letter category."""
+    return bool(_ASCII.search(text)) or any(c.isalpha() for c in set(text))
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the normalised texts laid end to end, each with a blank on both sides, and their offsets."""
     norm = [" " + _BLANK.sub(" ", t.lower()) + " " for t in texts]
@@ -134,16 +141,17 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict | None:
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + docs) / (1 + df)) + 1
-    langs = sorted(r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    # ids first, so that only the chosen texts move
-    keyed = train.select("lang", F.xxhash64("doc_id", F.lit(17)).alias("h"))
-    w = F.row_number().over(_by("lang", "h"))
-    cut = keyed.filter(F.col("lang").isin(langs)).withColumn("r", w).filter(F.col("r") <= sample).select("lang", "h").distinct()
-    chosen = train.withColumn("h", F.xxhash64("doc_id", F.lit(17))).join(F.broadcast(cut), ["lang", "h"], "left_semi")
-    got = chosen.select("lang", "text").mapInArrow(_features(idf), "lang string, idx array<int>, val array<float>").limit(sample * len(langs)).toArrow()
-    names = np.array(got["lang"].to_pylist())
-    labels = np.searchsorted(langs, names)
-    rows = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64)) for i, v in zip(got["idx"], got["val"])]
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    # about as many rows as are needed pass a bound on their hash, so that no task ranks a whole language
+    h = F.xxhash64(F.lit(17), "text")
+    keyed = train.select("lang", h.alias("h")).join(F.broadcast(sizes), "lang")
+    few = keyed.filter(F.expr("h / 18446744073709551616D + 0.5") * F.col("n") < sample + 8 * sample**0.5 + 64).select("lang", "h").distinct()
+    cut = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample).select("lang", "h")
+    chosen = train.withColumn("h", h).join(F.broadcast(cut), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    got = chosen.select("lang", "text").mapInArrow(_features(idf), "lang string, idx array<int>, val array<float>").toArrow()
+    labels = np.searchsorted(langs, np.array(got["lang"].to_pylist()))
+    rows = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(got["idx"], got["val"])]
     order = np.lexsort([[float(v.sum()) for _, v in rows], [len(i) for i, _ in rows], labels])  # not by arrival
     rows, labels = [rows[i] for i in order], labels[order]
     held = np.arange(len(rows)) % 5 == 4
@@ -152,20 +160,14 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict | None:
     return {"langs": langs, "weights": (weights * idf[:, None]).astype(np.float32), "temperature": temperature(logits, labels[held])}
 
 
-def _by(part, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(order)
-
-
-def _predicted(model):
+def _predicted(model, with_text=False):
     def score(batches):
         # the buckets that carry weight, with their rows of weights side by side
         table = np.ascontiguousarray(model["weights"].T) if model else None
         for batch in batches:
             langs, scores = [], []
             for _, _, texts in _batches(batch):
-                letters = np.array([bool(_LETTER.search(t)) for t in texts], bool)
+                letters = np.array([has_letter(t) for t in texts], bool)
                 if model is None:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
@@ -185,7 +187,8 @@ def _predicted(model):
                 best = p.argmax(1)
                 langs += [model["langs"][b] if x else UNKNOWN for b, x in zip(best, letters)]
                 scores += np.where(letters, p[np.arange(len(texts)), best], 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "text" or with_text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 
     return score
 
@@ -195,6 +198,16 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language has a score of `least`; without a model, all with a letter."""
+    if model is None:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("text", F.col(f"c{docs.columns.index('text')}").cast("string"))
+    fields = [*inner.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    out = inner.mapInArrow(_predicted(model), T.StructType(fields)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def held_out():
     """The rows that the query's contract keeps from training; a null doc_id is not among them."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -219,7 +219,7 @@ def _near(texts: DataFrame, pairs: DataFrame, alive: DataFrame, threshold: int)
     close = F.lit(False)
     for t in range(1, threshold + 1):
         close = F.when(edits == t, within("x", "y", t)).otherwise(close)
-    later = pairs.join(left, "a").join(right, "b").filter(close).select(F.greatest("pa", "pb").alias("p")).distinct()
+    later = pairs.join(left, "a").join(right, "b").filter("pa <> pb").filter(close).select(F.greatest("pa", "pb").alias("p")).distinct()
     return S.checkpoint(_per_doc(later.select("p.*")))
 
 

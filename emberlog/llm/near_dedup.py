@@ -3,8 +3,9 @@
 Every document has one posting for each (coordinate, value) pair of its MinHash signature. Two documents whose
 signatures agree in at least T of K coordinates share one of the K - T + 1 rarest postings of either (the prefix), so
 only those lists are merged; postings that one document alone holds are skipped, and a document left with fewer than T
-others is linked with nothing. The documents that remain get a longer sketch; pairs of a list whose sketches agree in
-enough coordinates are confirmed on the full shingle sets.
+others is linked with nothing. The collisions of a pair that meets in a list are counted over all K coordinates, and
+pairs with T or more are retained. As a further filter, documents that lack shingles which others have too drop out, and
+a longer sketch has to agree in enough coordinates; what is left is confirmed on the full shingle sets.
 
 Lists are never expanded into all their pairs. First each member meets the first member of its list, which joins dense
 groups into components. Then only pairs of different components are compared, and only members outside a list's
@@ -12,7 +13,8 @@ largest component probe the list.
 
 Nulls and odd rows: a null or wordless text has an empty set and is linked with nothing; a null doc_id is returned as
 its own row with a null component and kept; of rows that repeat a doc_id with other texts, the one whose set digest is
-largest is compared, and all get its component. An empty table gives no rows. Other columns are ignored.
+largest is compared, and all get its component (`first_of_each` tells such rows apart). An empty table gives no rows.
+Very long texts are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from emberlog.llm import shared as S
 
 COORDINATES = 32
 #: Coordinates of the sketch that survivors get, four bits each.
-SKETCH = 512
+SKETCH = 256
 #: The probability that a pair at the threshold is missed by the signature; and as much by the sketch.
 MISS = 1e-5
 WIDTH = 5
@@ -157,7 +159,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
 
 
 def _sketched(batches):
-    """A longer signature of four bits a coordinate, packed into longs: equal coordinates have equal nibbles."""
+    """The signature, and a longer one of four bits a coordinate, packed into longs: equal coordinates have equal nibbles."""
     shift = np.arange(0, 64, 4, dtype=np.uint64)
     for batch in batches:
         data, off = S.utf8(batch.column("text"))
@@ -165,6 +167,7 @@ def _sketched(batches):
             words, woff = S.word_hashes(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             sh, soff = S.shingles(words, woff, WIDTH)
             out, key, full = np.zeros((hi - lo, SKETCH), np.uint64), np.zeros(hi - lo, np.uint64), np.flatnonzero(np.diff(soff))
+            sig = np.zeros((hi - lo, COORDINATES), np.uint32)
             size = np.zeros(hi - lo, np.int64)
             for i in full:
                 items = np.unique(sh[soff[i] : soff[i + 1]])
@@ -172,36 +175,49 @@ def _sketched(batches):
             for k in range(SKETCH if len(full) else 0):
                 low = np.minimum.reduceat((sh * _A[COORDINATES + k] + _B[COORDINATES + k]) >> np.uint64(32), soff[full])
                 out[full, k] = S.mix(low) & np.uint64(15)
+            for k in range(COORDINATES if len(full) else 0):
+                sig[full, k] = np.minimum.reduceat((sh * _A[k] + _B[k]) >> np.uint64(32), soff[full])
             longs = (out.reshape(hi - lo, -1, 16) << shift).sum(2, dtype=np.uint64).view(np.int64)
-            cols = [size, key.view(np.int64), *longs.T]
+            cols = [size, key.view(np.int64), *longs.T, *sig.view(np.int64).T]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["rep", "n", "key1", *_COLUMNS])
 
 
-_COLUMNS = [f"s{i}" for i in range(SKETCH // 16)]
+_SKETCH = [f"s{i}" for i in range(SKETCH // 16)]
+#: The signature, two coordinates a long.
+_SIGNATURE = [f"c{i}" for i in range(COORDINATES // 2)]
+_COLUMNS = _SKETCH + _SIGNATURE
 
 
 def enough(x: str, y: str, least: int) -> str:
     """SQL for whether two packed sketches agree in `least` coordinates: nibbles that differ are folded into one bit each."""
-    v = [f"({x}{i} ^ {y}{i})" for i in range(len(_COLUMNS))]
+    v = [f"({x}{c} ^ {y}{c})" for c in _SKETCH]
     differ = " + ".join(f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {0x1111111111111111})" for d in v)
     return f"{differ} <= {SKETCH - least}"
 
 
-def _compared(similar):
+def collide(x: str, y: str, least: int) -> str:
+    """SQL for whether two signatures collide in `least` coordinates."""
+    v = [f"({x}{c} ^ {y}{c})" for c in _SIGNATURE]
+    return " + ".join(f"if({d} & 4294967295 = 0, 1, 0) + if(shiftrightunsigned({d}, 32) = 0, 1, 0)" for d in v) + f" >= {least}"
+
+
+def _compared(similar, matches):
     least = sketch_agreements(similar)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         """Pairs of one block of a long list's probes with one block of its members."""
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
-            grid = lambda t: np.stack([t.column(c).to_numpy() for c in _COLUMNS], 1).view(np.uint64)
+            grid = lambda t, names: np.stack([t.column(c).to_numpy() for c in names], 1)
             col = lambda t, c: t.column(c).to_numpy()
-            x, y, ones = grid(left), grid(right), np.uint64(0x1111111111111111)
+            x, y, ones = grid(left, _SKETCH).view(np.uint64), grid(right, _SKETCH).view(np.uint64), np.uint64(0x1111111111111111)
+            p, q = grid(left, _SIGNATURE).view(np.uint32), grid(right, _SIGNATURE).view(np.uint32)
             a, b, ca, cb, na, nb = col(left, "rep"), col(right, "rep"), col(left, "comp"), col(right, "comp"), col(left, "n"), col(right, "n")
             main, place = col(right, "main"), col(left, "place")
             ka, kb = left.column("keys").to_pylist(), [set(k) for k in right.column("keys").to_pylist()]
             for i in range(len(a)):
                 j = np.flatnonzero((ca[i] != cb) & ((cb == main) | (a[i] < b)) & (100 * np.minimum(na[i], nb) >= similar * np.maximum(na[i], nb)))
+                j = j[(p[i] == q[j]).sum(1) >= matches]
                 d = x[i] ^ y[j]
                 d |= d >> np.uint64(2)
                 d |= d >> np.uint64(1)
@@ -214,15 +230,18 @@ def _compared(similar):
     return compare
 
 
-def _long_lists(lists: DataFrame, similar: int) -> DataFrame:
-    """Pairs of long lists: probes and members are dealt into blocks, and every probe block meets every member block."""
-    blocks = F.ceil(F.col("members") / LONG_LIST).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+def _long_lists(lists: DataFrame, similar: int, matches: int) -> DataFrame:
+    """Pairs of long lists: probes and members are dealt into blocks, and every probe block meets every member block.
+
+    Members are copied once for each block of probes that the list has, probes once for each block of members.
+    """
+    rows, cols = (F.ceil(F.col(c) / LONG_LIST).cast("int") for c in ("probes", "members"))
+    deal = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     names = ["key", "rep", "comp", "n", "place", "keys", "main", *_COLUMNS]
-    left = lists.filter("comp <> main").select(*names, block.alias("p"), every.alias("q"))
-    right = lists.select(*names, block.alias("q"), every.alias("p")).toDF(*names, "q", "p")
-    return left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInArrow(_compared(similar), "a long, b long")
+    left = lists.filter("comp <> main").select(*names, deal(rows).alias("p"), every(cols).alias("q"))
+    right = lists.select(*names, deal(cols), every(rows)).toDF(*names, "q", "p")
+    return left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInArrow(_compared(similar, matches), "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats: bool = False) -> DataFrame:
@@ -245,10 +264,10 @@ def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats:
     lists = S.checkpoint(prefix.join(sketch.join(reps.select("rep", "key1"), ["rep", "key1"], "left_semi").drop("key1").dropDuplicates(["rep"]), "rep"))
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select("key", F.col("rep").alias(name[0]), F.col("n").alias("n" + name[0]), F.col("keys").alias("keys" + name[0]), F.col("place").alias("place" + name[0]), *(F.col(c).alias(name[1] + c[1:]) for c in _COLUMNS), *(F.col(c).alias(c + name[0]) for c in of.columns if c == "comp"))
+        return of.select("key", F.col("rep").alias(name[0]), F.col("n").alias("n" + name[0]), F.col("keys").alias("keys" + name[0]), F.col("place").alias("place" + name[0]), *(F.col(c).alias(name[1] + c) for c in _COLUMNS), *(F.col(c).alias(c + name[0]) for c in of.columns if c == "comp"))
 
     # a pair that shares several lists is made in the first of them alone
-    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {enough('x', 'y', sketch_agreements(similar))} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
+    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {collide('x', 'y', matches)} and {enough('x', 'y', sketch_agreements(similar))} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
     # round 1: each member of a list against its first member
     heads = lists.join(lists.groupBy("key").agg(F.min("rep").alias("rep")), ["key", "rep"], "left_semi")
     stars = S.checkpoint(side(heads, "ax").join(side(lists, "by"), "key").filter(f"b > a and {near}").select("a", "b").distinct())
@@ -258,11 +277,11 @@ def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats:
     lists = lists.join(comp, lists["rep"] == comp["node"], "left").select(*lists.columns, F.coalesce("component", "rep").alias("comp"))
     sizes = lists.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("members")).filter("comps > 1")
-    main = S.checkpoint(main.select("key", F.col("top.comp").alias("main"), "members"))
+    main = S.checkpoint(main.select("key", F.col("top.comp").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes")))
     lists = lists.join(main, "key")
     probe, there = side(lists.filter("comp <> main and members <= " + str(LONG_LIST)), "ax"), side(lists.filter(f"members <= {LONG_LIST}"), "by").join(main.select("key", "main"), "key")
     cross = probe.join(there, "key").filter(f"compa <> compb and (compb = main or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = cross.unionByName(_long_lists(lists.filter(f"members > {LONG_LIST}"), similar)).distinct()
+    cross = cross.unionByName(_long_lists(lists.filter(f"members > {LONG_LIST}"), similar, matches)).distinct()
     second = confirm(S.checkpoint(cross.join(stars, ["a", "b"], "left_anti")), docs, similar)
     return S.components(first.unionByName(second))
 
@@ -287,6 +306,26 @@ def near_dedup(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return out.select("doc_id", "n_shingles", cid.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def first_of_each(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...), with all their columns, that are the first of their group of linked texts.
+
+    Rows without a doc_id, or that share one, are told apart: they come in order of doc_id (null last) and of a digest of
+    their texts.
+    """
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
+    if not odd:
+        gone = near_dedup(docs, similar).filter(~F.col("kept")).select("doc_id")
+        return docs.join(S.small(S.checkpoint(gone), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    # the rows of one task come after those of the one before it, so numbers follow the order; written, they stay
+    rows = S.table(rows.orderBy(F.asc_nulls_last(doc_id), F.xxhash64(text)).withColumn("row", F.monotonically_increasing_id()))
+    found = near_dedup(rows.select(F.col("row").alias("doc_id"), text.alias("text")), similar)
+    gone = S.checkpoint(found.filter(~F.col("kept")).select(F.col("doc_id").alias("row")))
+    return rows.join(S.small(gone, BROADCAST_ROWS), "row", "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
 def op2_near_dedup(spark, sf_dir) -> DataFrame:
     return near_dedup(S.read(spark, sf_dir, "documents"))
 

@@ -36,9 +36,9 @@ MATCH = 100
 GRAM = 20
 PAIRS = 64
 BATCH = 4096
-PART_ROWS = 100_000
+PART_ROWS = 50_000
 #: Anchors that a task settles at a time before they move.
-SETTLE = 1_000_000
+SETTLE = 300_000
 #: Lists (about 16 bytes an item) are broadcast up to so many items.
 BROADCAST_ITEMS = 3_000_000
 _PLACE = 24  # bits for a place within a chunk, below the hash in the sliding minimum
