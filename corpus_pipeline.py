@@ -3,7 +3,13 @@
 Every stage works on all that its predecessor kept, and all but the last return the columns of `documents`; n_chars
 follows the text. Language ID drops documents without a letter or whose language is uncertain; line dedup removes
 repeated lines and drops a document only if nothing but repeated lines was in it; near-dedup keeps the first document of
-each group of documents linked by a Jaccard similarity of NEAR percent; decontamination drops documents that hold benchmark passages; packing gives the pieces and their places.
+each group of documents linked by a Jaccard similarity of NEAR percent; decontamination drops documents that hold
+benchmark passages; packing gives the pieces and their places.
+
+Verdicts fall on rows. Language ID and decontamination judge each row by its text alone, whatever its doc_id, a null one
+too. Near-dedup tells rows apart that have no doc_id or share one: they come in order of doc_id (null last) and of a
+digest of their texts, and one of equal rows stays. Line dedup leaves rows without a doc_id as they are. Ties go to the
+smallest doc_id. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -20,15 +26,8 @@ LANGUAGE_SCORE = 0.3
 NEAR = 80
 
 
-def _anti(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is not among `gone`, a list that is broadcast if it is measured to be short."""
-    return docs.join(S.small(S.checkpoint(gone.select("doc_id").distinct()), 1_000_000), "doc_id", "left_anti")
-
-
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit(docs)
-    out = language_id.predict(docs, model)
-    return _anti(docs, out.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LANGUAGE_SCORE)))
+    return language_id.accepted(docs, language_id.fit(docs), LANGUAGE_SCORE)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +38,11 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _anti(docs, near_dedup.near_dedup(docs, similar=NEAR).filter(~F.col("kept")))
+    return near_dedup.first_of_each(docs, NEAR)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, S.read(spark, sf_dir, "benchmark"))
-    return _anti(docs, found.filter("contaminated"))
+    return decontaminate.clean(docs, S.read(spark, sf_dir, "benchmark"))
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages on `documents`; what each stage keeps is checkpointed in the shared folder."""
+    """The result of all stages on `documents`; what each stage keeps is written as a table in the shared folder."""
     docs = S.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = S.checkpoint(docs)
+            docs = S.table(docs)
     return docs
