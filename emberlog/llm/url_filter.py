@@ -3,8 +3,7 @@
 The longest fitting rule decides. Otherwise the URL is blocked if the regression, trained from a small labelled URL
 table, gives a probability of THRESHOLD or more. Training data are a bounded table that the driver holds; scoring runs
 where the rows lie, a batch at a time. An n-gram counts by its number over the root of the URL's number of n-grams; one
-that the table lacks counts nothing, and the table holds more wanted rows than unwanted ones, so a URL of unknown words
-is allowed.
+that the table lacks counts nothing, and most of the table is wanted, so a URL of unknown words is allowed.
 
 The labelled table is made of common words: hosts and paths of kinds of site that corpora leave out (gambling, adult,
 pills, loans, downloads of cracked software, link and ad farms) and of kinds that they keep.
@@ -16,6 +15,7 @@ An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from functools import reduce
 
@@ -48,17 +48,25 @@ software developer docs manual support download-center kernel database network e
 children family church charity volunteer bank insurance tax jobs career""".split()
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: 1 is unwanted. Each word stands in a host, with other words or alone, or in a path."""
-    plain = ("www", "m", "blog", "the", "my", "best", "online", "info", "site", "page", "home", "world", "club", "net", "zone", "daily")
-    ends = ("com", "net", "org", "info", "co")
+_PLAIN = ("www", "m", "blog", "the", "my", "best", "online", "info", "site", "page", "home", "world", "club", "net", "zone", "daily")
+_ENDS = ("com", "net", "org", "info", "co", "io")
+
+
+def labelled_urls(each: int = 8) -> list[tuple[str, int]]:
+    """The small labelled table: 1 is unwanted. Each word stands `each` times in a host or path beside plain words, which
+    are dealt by a checksum and so tell nothing; as many made-up names as unwanted rows are wanted."""
     rows = []
     for words, label in ((UNWANTED, 1), (WANTED, 0)):
-        for i, w in enumerate(words):
-            x, y, end = plain[i % len(plain)], plain[(5 * i + 3) % len(plain)], ends[i % len(ends)]
-            rows += [(f"https://{w}-{x}.{end}/en/{i}", label), (f"http://{y}{w}.example.{end}/{x}/{7 * i}", label)]
-            if label == 0:
-                rows += [(f"https://{x}.{y}.{ends[(i + 1) % len(ends)]}/{w}/{i}?page=2", 0)]
+        for w in words:
+            for k in range(each):
+                n = zlib.crc32(f"{w} {k}".encode())
+                x, y, end = _PLAIN[n % 16], _PLAIN[n // 16 % 16], _ENDS[n // 256 % 6]
+                host = (f"{w}.{end}", f"{x}-{w}.{end}", f"{w}{x}.{y}.{end}", f"{x}.{y}.{end}")[k % 4]
+                rows.append((f"https://{host}/{w if k % 4 == 3 else x}/{n // 1000 % 1000}", label))
+    for k in range(len(UNWANTED) * each):
+        n = zlib.crc32(f"name {k}".encode())
+        name = "".join("bcdfghjklmnprstvwz"[(n >> 5 * i) % 18] + "aeiou"[(n >> 3 * i) % 5] for i in range(2 + n % 4))
+        rows.append((f"https://{('', 'www.', 'm.', 'blog.')[n // 7 % 4]}{name}.{_ENDS[n // 256 % 6]}/{_PLAIN[n // 77 % 16]}/{n % 999}", 0))
     return rows
 
 
@@ -99,7 +107,7 @@ def buckets(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def train(labelled: list[tuple[str, str, int]], l2: float = 1e-3, steps: int = 300, rate: float = 20.0) -> tuple[np.ndarray, float]:
+def train(labelled: list[tuple[str, str, int]], l2: float = 1e-3, steps: int = 400, rate: float = 50.0) -> tuple[np.ndarray, float]:
     """Weights and intercept of logistic regression over (host, path, label), by full-batch gradient descent."""
     n = len(labelled)
     at, row = buckets([h for h, _, _ in labelled], [p for _, p, _ in labelled])

@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -201,20 +202,22 @@ def test_url_verdicts_equal_brute_force(spark):
 
 def test_url_model_on_held_out_words(spark):
     """Words that the fit has not seen are allowed; new hosts of words that it has seen get their label."""
-    rows = [(*re.match(r"https?://([^/]*)([^?]*)", u).groups(), y) for u, y in url_filter.labelled_urls()]
+    urls = url_filter.labelled_urls()
+    rows = [(*re.match(r"https?://([^/]*)([^?]*)", u).groups(), y) for u, y in urls]
+    folds = [zlib.crc32(u.encode()) % 4 for u, _ in urls]
     right = {0: [], 1: []}
     for fold in range(4):
-        w, b = url_filter.train([r for i, r in enumerate(rows) if i % 4 != fold])
-        held = [r for i, r in enumerate(rows) if i % 4 == fold]
+        w, b = url_filter.train([r for r, f in zip(rows, folds) if f != fold])
+        held = [r for r, f in zip(rows, folds) if f == fold]
         for (*_, y), p in zip(held, url_filter.probabilities([h for h, _, _ in held], [p for _, p, _ in held], w, b)):
             right[y].append((p >= 0.5) == (y == 1))
     print("held-out accuracy of wanted and unwanted rows", [np.mean(right[y]) for y in (0, 1)])
-    assert np.mean(right[0]) > 0.95 and np.mean(right[1]) > 0.6
+    assert np.mean(right[0]) > 0.95 and np.mean(right[1]) > 0.75
     w, b = url_filter.train(rows)
     unknown = ["ququxa.example.com", "brizzle.test", "www.oolbe.example.org", "zmnrt.co"]
     assert (url_filter.probabilities(unknown, ["/en/4"] * 4, w, b) < 0.5).all()
-    new = ["grand-casino.test", "poker.brizzle.test", "www.cheapviagra.test", "city-library.test", "chess.brizzle.test"]
-    assert (url_filter.probabilities(new, ["/a"] * 5, w, b) >= 0.5).tolist() == [True, True, True, False, False]
+    new = ["grand-casino.test", "poker.brizzle.test", "city-library.test", "chess.brizzle.test"]
+    assert (url_filter.probabilities(new, ["/a"] * 4, w, b) >= 0.5).tolist() == [True, True, False, False]
 
 
 def test_url_odd_rows(spark):
