@@ -115,3 +115,46 @@ def threat_scores(e: DataFrame, k: int = 10) -> DataFrame:
     """Ips by count times distinct attack types."""
     g = e.filter("attack_type is not null").groupBy("ip").agg(F.count("*").alias("n"), F.count_distinct("attack_type").alias("types"))
     return g.withColumn("threat_score", F.col("n") * F.col("types")).orderBy(F.desc("threat_score"), "ip").limit(k)
+
+
+# Labels that feedback may give
+VERDICTS = ("safe", "unsafe", "attack_pattern")
+
+
+def valid_labels(feedback: DataFrame, label: str = "label") -> DataFrame:
+    return feedback.filter(F.col(label).isin(*VERDICTS))
+
+
+def with_attacks(e: DataFrame, attacks: DataFrame) -> DataFrame:
+    """Entries with the fields of the attack of the same id, if there is one."""
+    return e.join(attacks, "id", "left")
+
+
+def chain_events(chains: DataFrame) -> DataFrame:
+    """(chain, id): chains (chain, ids) flattened to one row an event."""
+    return chains.select("chain", F.explode("ids").alias("id"))
+
+
+def not_overlapping(chains: DataFrame, existing: DataFrame) -> DataFrame:
+    """Chains (chain, ids) that share no event with the existing ones."""
+    taken = chain_events(chains).join(chain_events(existing).select("id").distinct(), "id").select("chain").distinct()
+    return chains.join(taken, "chain", "left_anti")
+
+
+def ips_of_user(e: DataFrame) -> DataFrame:
+    """Per user, the ips of failures and successes together."""
+    ips = lambda o: F.collect_set(F.when(F.col("outcome") == o, F.col("ip")))
+    return e.groupBy("user").agg(F.array_sort(F.array_union(ips("failure"), ips("success"))).alias("ips"))
+
+
+def sorted_by(e: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Entries in order of any column as text, whatever its case, then of id."""
+    key = F.lower(F.col(column).cast("string"))
+    return e.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "id")
+
+
+def window_summary(chains: DataFrame, e: DataFrame) -> DataFrame:
+    """Chains, their threat score (sum of confidences, 1 at most), and the risk from chains and severities, 100 at most."""
+    c = chains.agg(F.count("*").alias("chains"), F.least(F.coalesce(F.sum("confidence"), F.lit(0.0)), F.lit(1.0)).alias("threat_score"))
+    n = e.agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "error").alias("errors"))
+    return c.crossJoin(n).withColumn("risk", F.least(20 * F.col("chains") + 10 * F.col("critical") + 5 * F.col("errors"), F.lit(100)))  # one row each

@@ -50,10 +50,11 @@ def log_operations(files: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def odd_times(files: DataFrame, as_of_us: int) -> DataFrame:
-    """Future 100, zero 75 and ancient (before 1990) 50 points."""
+    """Future 100, unset (null, as `ntfs_time` gives it, or 0) 75 and ancient (before 1990) 50 points."""
     c = F.col("created_us")
-    sev = F.when(c > as_of_us, "CRITICAL").when(c == 0, "HIGH").when(c < 631_152_000_000_000, "MEDIUM")
-    return _rows(files, sev.isNotNull(), "odd_times", sev, F.when(c > as_of_us, 100).when(c == 0, 75).otherwise(50))
+    zero = c.isNull() | (c == 0)
+    sev = F.when(c > as_of_us, "CRITICAL").when(zero, "HIGH").when(c < 631_152_000_000_000, "MEDIUM")
+    return _rows(files, sev.isNotNull(), "odd_times", sev, F.when(c > as_of_us, 100).when(zero, 75).otherwise(50))
 
 
 def order_anomaly(files: DataFrame) -> DataFrame:
@@ -67,11 +68,12 @@ def event_bounds(files: DataFrame, events: DataFrame) -> DataFrame:
     return _rows(b, (c > F.col("hi") + DAY) | (c < F.col("lo") - 5 * 365 * DAY), "event_bounds", F.when(c > F.col("hi"), "HIGH").otherwise("LOW"), F.when(c > F.col("hi"), 75).otherwise(25))
 
 
-def round_delta(files: DataFrame, tolerance: int = 0) -> DataFrame:
-    """Creation and modification apart by a round time, to `tolerance` seconds."""
+def round_delta(files: DataFrame, tolerance: int = 0, least: int = 10) -> DataFrame:
+    """Creation and modification apart by a round time, to `tolerance` seconds; needs `least` records in all."""
     gap = F.abs(F.col("modified_us") - F.col("created_us"))
     near = reduce(lambda a, b: a | b, (F.abs(gap - s * SECOND) <= tolerance * SECOND for s in ROUND_SECONDS))
-    return _rows(files, near, "round_delta", F.lit("MEDIUM"), F.lit(50))
+    enough = F.broadcast(files.limit(least).agg(F.count("*").alias("_n")))
+    return _rows(files.crossJoin(enough), near & (F.col("_n") >= least), "round_delta", F.lit("MEDIUM"), F.lit(50))
 
 
 def delta_clusters(files: DataFrame, least: int = 3) -> DataFrame:
