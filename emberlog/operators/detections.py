@@ -5,8 +5,13 @@ Sliding rules use range frames over microseconds within a key, so each needs one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MINUTE = 60_000_000
 
@@ -84,20 +89,32 @@ def gaps(e: DataFrame, key: str) -> DataFrame:
 
 
 def greedy_windows(e: DataFrame, key: str, width: int = 5 * MINUTE) -> DataFrame:
-    """Entries with the start of their anchored window: a window opens at the first event later than the last start + width.
+    """Entries (with `key` and us) with the start of their anchored window: a window opens at the first event later than
+    the last start + width.
 
-    The place of a start depends on all starts before it, so it is a fold over the key's ordered times. Times are first
-    cut at pauses longer than `width`: a pause always opens a window, and folds run within the stretches between.
+    Where a window starts depends on all starts before it, so a key's entries pass one task in order of time, a batch at
+    a time; only the key and the open window are held.
     """
-    w = Window.partitionBy(key).orderBy("us")
-    pause = F.when(F.col("us") - F.lag("us").over(w) > width, 1).otherwise(0)
-    s = e.withColumn("_p", pause).withColumn("_s", F.sum("_p").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    times = s.groupBy(key, "_s").agg(F.array_sort(F.collect_set("us")).alias("t"))
-    fold = f"aggregate(t, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x > element_at(a, -1) + {width}, concat(a, array(x)), a))"
-    starts = times.select(key, "_s", F.explode(F.expr(fold)).alias("us"), F.lit(True).alias("_start"))
-    marked = s.withColumn("_start", F.lit(False)).unionByName(starts, allowMissingColumns=True)
-    last = F.last(F.when(F.col("_start"), F.col("us")), True).over(Window.partitionBy(key).orderBy("us", F.desc("_start")).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("window_start", last).filter("not _start").drop("_start", "_s", "_p")
+    fields = e.schema
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start = None, 0
+        for b in batches:
+            keys, us = b.column(fields.names.index(key)).to_pylist(), b.column(fields.names.index("us")).to_numpy(zero_copy_only=False)
+            out, i = np.zeros(len(us), np.int64), 0
+            ends = [j for j in range(1, len(keys)) if keys[j] != keys[j - 1]] + [len(keys)]
+            for end in ends if keys else ():
+                if keys[i] != last:
+                    last, start = keys[i], int(us[i])
+                while i < end:
+                    if us[i] > start + width:
+                        start = int(us[i])
+                    stop = i + int(np.searchsorted(us[i:end], start + width, "right"))
+                    out[i:stop], i = start, stop
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "window_start"])
+
+    dealt = e.filter(F.col(key).isNotNull() & F.col("us").isNotNull()).repartition(F.col(key)).sortWithinPartitions(key, "us")
+    return dealt.mapInArrow(walk, T.StructType([*fields.fields, T.StructField("window_start", T.LongType())]))
 
 
 def windowed_brute_chains(e: DataFrame, least: int = 5, span: int = 10 * MINUTE, width: int = 5 * MINUTE) -> DataFrame:

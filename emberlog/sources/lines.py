@@ -11,10 +11,17 @@ CSV_FIELDS = ("TimeCreated", "EventID", "LevelDisplayName", "LogName", "MachineN
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files, each read whole so that its lines keep their order: (source, line_no, line) of non-empty lines."""
-    files = spark.read.text(path, wholetext=True).withColumn("source", F.col("_metadata.file_path"))
-    lines = files.select("source", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return lines.withColumn("line_no", F.col("line_no").cast("long")).filter(F.trim("line") != "")
+    """Files in splits: (source, line_no, line) of non-empty lines; line_no counts all lines of a file from 0.
+
+    A line's number within its split is added to the lines of the splits before it, so that no file has to fit into a task.
+    """
+    at = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select(*at, F.col("value").alias("line"), F.monotonically_increasing_id().alias("_m"))
+    counts = lines.groupBy("source", "_block").agg(F.count("*").alias("n"))  # one row a split
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    numbered = lines.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_block").orderBy("_m")) - 1)
+    out = numbered.join(counts.select("source", "_block", before.alias("_before")), ["source", "_block"])
+    return out.filter(F.trim("line") != "").select("source", (F.col("_before") + F.col("_r")).alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
 
 
 def read_unordered(spark: SparkSession, path: str | list[str]) -> DataFrame:

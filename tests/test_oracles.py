@@ -39,6 +39,9 @@ def test_same_rows(spark, con, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(names, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+#: Folds and models that SQL can't say; tests/test_windows.py holds them against plain loops.
+WITHOUT_SQL = {"greedy_windows", "windowed_brute_chains", "windowed_spray_chains", "isolation_forest_scores"}
+
+
+def test_only_these_lack_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WITHOUT_SQL
