@@ -10,7 +10,7 @@ within t edits holds at least one of them unchanged: lines post their segments u
 the lengths that they could match with the few substrings that the multi-match-aware rule leaves. Segments that no
 second line has are dropped by counting. Around a shared segment, what is left of both lines is again within t edits,
 so it is cut into t + 1 segments too, and only lines that share one of these as well meet: a segment that many lines
-have in common (a template) is split by what they differ in. Letter counts, which t edits can't change much, thin the
+have in common (a template) is split by what they differ in. Counts of letters and digits, which t edits can't change much, thin the
 pairs inside the join, and a banded bit-parallel edit distance decides. A line goes if an earlier one is near.
 
 Equal lines count by a digest of two independent 64-bit hashes. Texts move only if the lists of lines are too large to
@@ -39,6 +39,7 @@ WORDLESS = 24
 BROADCAST_LINES = 1_000_000
 BROADCAST_KEYS = 500_000
 LETTERS = "etnoairsdl"
+DIGITS = "0123456789"
 _SCALE = 10**10  # line numbers are below it
 _LISTS = "array<struct<line_no: int, h1: bigint, h2: bigint>>"
 
@@ -102,19 +103,24 @@ def _slots_of(n: str, threshold: int) -> str:
     return f"if({n} >= {threshold * (PER_EDIT + 1)}, {full}, filter({_array(every)}, c -> {_edits(f'{n} - c.l', threshold)} = c.t))"
 
 
-def _letters(threshold: int) -> Column:
-    """The counts of LETTERS modulo 64 and, above them, the line's edits, packed; the letters have one byte each."""
-    total = F.shiftleft(F.expr(_edits("n", threshold)).cast("long"), 6 * len(LETTERS))
-    for i, c in enumerate(LETTERS):
+def _counts(chars: str, threshold: int | None = None) -> Column:
+    """The counts of ten one-byte characters in `line`, modulo 64, packed; above them the line's edits, if asked for."""
+    total = F.lit(0).cast("long") if threshold is None else F.shiftleft(F.expr(_edits("n", threshold)).cast("long"), 6 * len(chars))
+    for i, c in enumerate(chars):
         count = F.octet_length("line") - F.octet_length(F.expr(f"replace(line, '{c}', '')"))
         total = total + F.shiftleft((count % 64).cast("long"), 6 * i)
     return total
 
 
 def _alike() -> str:
-    """SQL for whether packed letter counts differ by as much as the edits of the posted line, xa, can change them."""
-    gaps = [f"abs((shiftright(xa, {6 * i}) & 63) - (shiftright(xb, {6 * i}) & 63))" for i in range(len(LETTERS))]
-    return " + ".join(f"least({g}, 64 - {g})" for g in gaps) + f" <= 2 * shiftright(xa, {6 * len(LETTERS)})"
+    """SQL for whether counts of letters (x) and digits (y) differ by as much as the edits of the posted line can change them."""
+
+    def gaps(name: str, chars: str) -> str:
+        each = [f"abs((shiftright({name}a, {6 * i}) & 63) - (shiftright({name}b, {6 * i}) & 63))" for i in range(len(chars))]
+        return " + ".join(f"least({g}, 64 - {g})" for g in each)
+
+    most = f"2 * shiftright(xa, {6 * len(LETTERS)})"
+    return f"{gaps('y', DIGITS)} <= {most} and {gaps('x', LETTERS)} + {gaps('y', DIGITS)} <= {most}"
 
 
 def within(x: str, y: str, threshold: int) -> Column:
@@ -195,13 +201,13 @@ def _candidates(texts: DataFrame, ones: DataFrame, threshold: int) -> tuple[Data
     at, size = _start("n - c.l", "c", "c.i"), _size("n - c.l", "c", "c.i")
     rest = f"concat(substring(line, 1, {at} + c.d - 1), substring(line, {at} + c.d + {size}))"
     # m: what the posted line has left
-    rows = rows.select("uid", "key", "pos", "n", "c", _letters(threshold).alias("x"), F.expr(rest).alias("rest"), F.expr(f"n - c.l - {size}").alias("m"))
+    rows = rows.select("uid", "key", "pos", "n", "c", _counts(LETTERS, threshold).alias("x"), _counts(DIGITS).alias("y"), F.expr(rest).alias("rest"), F.expr(f"n - c.l - {size}").alias("m"))
     second = f"xxhash64(key, s.i, substring(rest, {_start('m', 's', 's.i')} + s.d, {_size('m', 's', 's.i')}))"
     own = f"filter({_array([s for s in _slots(threshold) if s[1] == s[3] == 0])}, s -> s.t = c.t and pos <= c.t)"
     other = f"filter({_array(_slots(threshold))}, s -> s.t = c.t and s.l = c.l)"
-    rows = S.checkpoint(rows.select("uid", F.expr("c.l").alias("l"), "x", F.expr(f"transform({own}, s -> {second})").alias("posts"), F.expr(f"transform({other}, s -> {second})").alias("probes")))
-    index = rows.select(F.explode("posts").alias("key"), F.col("uid").alias("a"), F.col("x").alias("xa"))
-    asked = rows.select(F.explode("probes").alias("key"), "l", F.col("uid").alias("b"), F.col("x").alias("xb"))
+    rows = S.checkpoint(rows.select("uid", F.expr("c.l").alias("l"), "x", "y", F.expr(f"transform({own}, s -> {second})").alias("posts"), F.expr(f"transform({other}, s -> {second})").alias("probes")))
+    index = rows.select(F.explode("posts").alias("key"), F.col("uid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    asked = rows.select(F.explode("probes").alias("key"), "l", F.col("uid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     pairs = index.join(asked, "key").filter(f"(l = 0 and a < b or l > 0) and {_alike()}")
     return S.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), alive
 
