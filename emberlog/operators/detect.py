@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,10 +125,12 @@ def timestamps(raw: Column, year: int) -> Column:
     return F.coalesce(*known, short)
 
 
-def normalise(parsed: DataFrame, year: int = 2026) -> DataFrame:
-    """Parsed lines as normalised entries: time, severity, source ip and port, user, action, outcome and tags."""
+def normalise(parsed: DataFrame, year: int | None = None) -> DataFrame:
+    """Parsed lines as normalised entries: time, severity, source ip and port, user, action, outcome and tags; times without a year get `year`, this one if none is given."""
     from emberlog.operators import labels as B
 
+    year = year or datetime.now(timezone.utc).year
+
     f, line = F.col("fields"), F.col("line")
     first = lambda *keys: F.coalesce(*(f[k] for k in keys))
     status = first("status", "status_code").try_cast("int")

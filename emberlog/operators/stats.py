@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def counts(e: DataFrame) -> DataFrame:
     """(dimension, value, n) for severity, log_type and outcome, and the total, in one pass over grouping sets."""
-    e.createOrReplaceTempView("_entries_for_counts")
-    spark = e.sparkSession
-    g = spark.sql("SELECT grouping_id(severity, log_type, outcome) AS g, severity, log_type, outcome, count(*) AS n FROM _entries_for_counts GROUP BY GROUPING SETS ((severity), (log_type), (outcome), ())")
+    keys = [F.col(c) for c in ("severity", "log_type", "outcome")]
+    g = e.groupingSets([[k] for k in keys] + [[]], *keys).agg(F.grouping_id(*keys).alias("g"), F.count("*").alias("n"))
     dim = F.when(F.col("g") == 3, "severity").when(F.col("g") == 5, "log_type").when(F.col("g") == 6, "outcome").otherwise("total")
     return g.select(dim.alias("dimension"), F.when(F.col("g") == 3, F.col("severity")).when(F.col("g") == 5, F.col("log_type")).when(F.col("g") == 6, F.col("outcome")).otherwise("all").alias("value"), "n")
 

@@ -68,7 +68,7 @@ def anchored_windows(e: DataFrame, width_us: int) -> DataFrame:
     return e.select("ip", "us", "outcome").groupBy("ip").applyInPandasWithState(step, "ip string, window_start long, n long, failed long", "start long, n long, failed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def parse_stream(lines: DataFrame, sink, checkpoint: str, year: int = 2026):
+def parse_stream(lines: DataFrame, sink, checkpoint: str, year: int | None = None):
     """Start a query that detects, parses and normalises each micro-batch of (source, line_no, line) and hands it to `sink(df, batch)`."""
     from emberlog.operators import detect
 
