@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -30,10 +31,22 @@ def _folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Checkpoints between two collections of the driver's garbage.
+COLLECT_EVERY = 6
+_made = itertools.count(1)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the session's shared folder.
+
+    Spark drops dead checkpoints, shuffles and broadcasts when the driver collects its garbage, which a driver with a
+    large heap hardly does; so it is asked to now and then.
+    """
     _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_made) % COLLECT_EVERY == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(df: DataFrame) -> DataFrame:
