@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 
@@ -33,7 +32,7 @@ def _folder(spark: SparkSession) -> str:
 
 #: Checkpoints between two collections of the driver's garbage.
 COLLECT_EVERY = 6
-_made = itertools.count(1)
+_made = {"checkpoints": 0}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -44,7 +43,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     _folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if next(_made) % COLLECT_EVERY == 0:
+    _made["checkpoints"] += 1
+    if _made["checkpoints"] % COLLECT_EVERY == 0:
         df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
