@@ -30,7 +30,7 @@ from emberlog.llm import shared as S
 
 COORDINATES = 32
 #: Coordinates of the sketch that survivors get, four bits each.
-SKETCH = 256
+SKETCH = 512
 #: The probability that a pair at the threshold is missed by the signature; and as much by the sketch.
 MISS = 1e-5
 WIDTH = 5
