@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "near_dedup", "url_filter", "chat_format", "language_id", "packing", "suffix_dedup", "decontaminate", "quality_rules", "cotrain", "merkle", "whitening"]
+MODULES = ["line_dedup", "near_dedup", "url_filter", "chat_format", "language_id", "packing", "suffix_dedup", "decontaminate", "quality_rules", "cotrain", "nearest", "merkle", "whitening"]
 
 
 def _loaded():

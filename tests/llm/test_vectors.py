@@ -5,7 +5,10 @@ from fractions import Fraction
 
 import numpy as np
 
-from emberlog.llm import whitening
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.llm import nearest, whitening
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "vec_id long, embedding array<double>, white string"
@@ -78,3 +81,68 @@ def test_whitening_odd_rows(spark):
     # one direction without variance among others
     line = whitening.whiten(spark.createDataFrame([(i, [float(i), 2.0 * i], "x") for i in range(5)], VECTORS)).collect()
     assert all((r.whitened is None) == (r.component == 2) for r in line)
+
+
+def _brute(rows, every, k):
+    """{query row: [(rank, vec_id, score)]} over (vec_id, vector) rows, by all cosines."""
+    v = np.array([r[1] for r in rows], float)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    out = {}
+    for i, (q, _) in enumerate(rows):
+        if q is not None and q % every == 0:
+            score = unit @ unit[i]
+            best = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-round(score[j], 12), rows[j][0] is None, rows[j][0] or 0))[:k]
+            out[i] = [(r + 1, rows[j][0], score[j]) for r, j in enumerate(best)]
+    return out
+
+
+def _recall(got, want):
+    """The share of the true neighbours found; scores and order are checked on the way."""
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r)
+    hits = 0
+    for q, best in want.items():
+        found = sorted(by.get(q, []), key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, len(best) + 1))
+        assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
+        hits += len({r.vec_id for r in found} & {x[1] for x in best})
+    return hits / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("sf,block", [("sf0.01", 4096), ("sf0.1", 256)])
+def test_nearest_recall_on_the_table(spark, sf, block):
+    rows = [(r.vec_id, [float(c) for c in r.embedding]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = {rows[i][0]: best for i, best in _brute(rows, 50, 5).items()}
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = nearest.nearest(df, F.col("vec_id") % 50 == 0, block=block).collect()
+    true = {(i, v): s for i, best in _brute(rows, 50, len(rows)).items() for _, v, s in best}
+    assert all(math.isclose(r.score, true[r.query_id, r.vec_id], abs_tol=1e-12) for r in got if r.query_id == rows[r.query_id][0])
+    assert {r.query_id for r in got} == set(want) and _recall(got, want) >= 0.95
+
+
+def test_nearest_copies_and_clusters(spark):
+    rng = np.random.default_rng(11)
+    middle, other = rng.normal(size=16), rng.normal(size=16)
+    rows = [(i, (middle + 0.01 * rng.normal(size=16) * (i % 3 > 0)).tolist()) for i in range(300)]  # a third are copies
+    rows += [(300 + i, (other + 0.3 * rng.normal(size=16)).tolist()) for i in range(200)] + [(500 + i, rng.normal(size=16).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], VECTORS)
+    got = nearest.nearest(df, F.col("vec_id") % 50 == 0, block=64).collect()
+    want = {rows[i][0]: best for i, best in _brute(rows, 50, 5).items()}
+    assert _recall(got, want) >= 0.95
+    # of equal copies the smallest ids come first
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 150] == [0, 3, 6, 9, 12]
+
+
+def test_nearest_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    bad = [(50, None), (100, [1.0, None]), (150, [nan, 1.0]), (200, [inf]), (250, [0.0, 0.0]), (300, [])]
+    good = [(0, [2.0**700, 2.0**700, 0.0]), (0, [1.0, 0.9, 0.0]), (7, [3.0]), (None, [2.0, 2.0, 0.0]), (9, [-(2.0**-700), -(2.0**-700)]), (7, [3.0])]
+    got = nearest.nearest(spark.createDataFrame([(i, v, "x") for i, v in bad + good], VECTORS), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == sorted([(0, i) for i in range(1, 6)] * 2)
+    firsts = sorted((r.vec_id is not None, r.vec_id or 0, round(r.score, 6)) for r in got if r["rank"] == 1)
+    assert firsts == [(False, 0, 1.0), (True, 0, 0.998618)]
+    assert [round(r.score, 6) for r in got if r.vec_id == 9] == [-1.0, -0.998618]
+    for rows in ([], [(0, None, "x")]):
+        assert nearest.nearest(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 50 == 0).collect() == []
+    assert nearest.nearest(spark.createDataFrame([(0, [1.0], "x")], VECTORS), F.lit(True)).collect() == []
