@@ -30,8 +30,11 @@ def labels_of(line: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Colu
 
 
 def any_json(detectors: tuple[Detector, ...] = DETECTORS) -> tuple[Detector, ...]:
-    """The detectors by which every JSON object counts, twice, as a MongoDB server's."""
-    return tuple(Detector(d.label, r"\{.*\}\s*$", d.weight) if d.label == "MongoDB Server" else d for d in detectors)
+    """The detectors by which every JSON object counts, twice, as a MongoDB server's, ahead of all that look at its keys."""
+    mongo = next(d for d in detectors if d.label == "MongoDB Server")
+    rest = [d for d in detectors if d is not mongo]
+    first = next((i for i, d in enumerate(rest) if d.keys), len(rest))
+    return (*rest[:first], Detector(mongo.label, r"\{.*\}\s*$", mongo.weight), *rest[first:])
 
 
 def log_code(label: Column) -> Column:

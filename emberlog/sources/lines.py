@@ -1,17 +1,16 @@
-"""Line sources: text files as (source, line_no, line), JSON arrays, multiline records, event CSV and export."""
+"""Line sources: text files as (source, line_no, line), JSON arrays, event CSV and export."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# What opens a record of several lines
-STARTS = {"mysql_slow": r"^# Time:", "oracle_alert": r"^[A-Z][a-z]{2} [A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2} \d{4}", "oracle_audit": r"^Audit trail:"}
 CSV_FIELDS = ("TimeCreated", "EventID", "LevelDisplayName", "LogName", "MachineName", "Message", "AccountName", "LogonType", "IpAddress")
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files in splits: (source, line_no, line) of non-empty lines; line_no counts all lines of a file from 0.
+def read_lines(spark: SparkSession, path: str | list[str], blank: bool = False) -> DataFrame:
+    """Files in splits: (source, line_no, line) of non-empty lines, of all with `blank`; line_no counts all lines of a file
+    from 0.
 
     A line's number within its split is added to the lines of the splits before it, so that no file has to fit into a task.
     """
@@ -21,7 +20,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     numbered = lines.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_block").orderBy("_m")) - 1)
     out = numbered.join(counts.select("source", "_block", before.alias("_before")), ["source", "_block"])
-    return out.filter(F.trim("line") != "").select("source", (F.col("_before") + F.col("_r")).alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
+    out = out if blank else out.filter(F.trim("line") != "")
+    return out.select("source", (F.col("_before") + F.col("_r")).alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
 
 
 def read_unordered(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -48,14 +48,6 @@ def json_objects(lines: DataFrame) -> DataFrame:
     return lines.select(*keep, F.posexplode(F.coalesce(out, F.array("line"))).alias("item_no", "line"))
 
 
-def records(lines: DataFrame, start: str) -> DataFrame:
-    """Lines joined into records: a record opens at a line that matches `start`; what precedes the first is record 0."""
-    w = Window.partitionBy("source").orderBy("line_no")
-    block = F.sum(F.when(F.col("line").rlike(start), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = lines.withColumn("record", block).groupBy("source", "record").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return parts.select("source", "record", F.col("l")[0]["line_no"].alias("line_no"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("line"))
-
-
 def event_csv(lines: DataFrame) -> DataFrame:
     """Security event rows split at plain commas; header rows and short rows go. Quotes are kept, not read."""
     p = F.split("line", ",")
