@@ -67,7 +67,7 @@ def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     """
     from emberlog.operators.forensic import ntfs_time
 
-    raw = byte_ranges(spark, path, HEADER_BYTES, CHUNK_BYTES).select("source", "content").mapInArrow(_rows, _RECORDS)
+    raw = byte_ranges(spark, path, first=HEADER_BYTES, step=CHUNK_BYTES).select("source", "content").mapInArrow(_rows, _RECORDS)
     return raw.select("source", "record", ntfs_time(F.col("ticks")).alias("us"), "body", "xml", "strings")
 
 

@@ -1,7 +1,7 @@
 """Binary NTFS artefacts: master file table records and change journal records.
 
 The file table is read as fixed-length records, so that one large file is scanned by many tasks. The change journal has
-records of varying length and is read a file at a time.
+records of varying length that do not cross its pages; it is read in ranges of pages, each from its first page's start.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.sources.ranges import byte_ranges
+
 # Fixed values of the on-disk format
-RECORD_BYTES = 1024
+RECORD_BYTES, PAGE_BYTES = 1024, 4096
 STANDARD, FILE_NAME, END = 0x10, 0x30, 0xFFFFFFFF
 REASONS = {0x1: "DATA_OVERWRITE", 0x2: "DATA_EXTEND", 0x4: "DATA_TRUNCATION", 0x100: "FILE_CREATE", 0x200: "FILE_DELETE", 0x1000: "RENAME_OLD_NAME", 0x2000: "RENAME_NEW_NAME", 0x8000: "BASIC_INFO_CHANGE", 0x80000000: "CLOSE"}
 _MFT = "record long, sequence int, in_use boolean, is_directory boolean, si_created long, si_modified long, si_changed long, si_accessed long, fn_created long, fn_modified long, parent long, name string"
@@ -74,39 +76,34 @@ def read_mft(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(ntfs_time(F.col(c)).alias(c) if c.startswith(("si_", "fn_")) else F.col(c) for c in rows.columns))
 
 
-def usn_records(raw: bytes):
-    """Version 2 records of a change journal; gaps of zeros are skipped eight bytes at a time."""
-    at = 0
-    while at + 60 <= len(raw):
-        size, major = struct.unpack_from("<IH", raw, at)
-        if size < 60 or size > 4096 or major != 2 or at + size > len(raw):
+def usn_records(raw: bytes, end: int | None = None):
+    """Version 2 records of a change journal that start before `end`; gaps are skipped eight bytes at a time."""
+    at, end = 0, len(raw) if end is None else end
+    while at < end and at + 60 <= len(raw):
+        size, major, minor = struct.unpack_from("<IHH", raw, at)
+        length, start = struct.unpack_from("<HH", raw, at + 56)
+        if size < 60 or size > 4096 or size % 8 or (major, minor) != (2, 0) or at + size > len(raw) or start < 60 or start + length > size:
             at += 8
             continue
         ref, parent, usn, ticks, reason = struct.unpack_from("<QQQQI", raw, at + 8)
-        length, start = struct.unpack_from("<HH", raw, at + 56)
         name = raw[at + start : at + start + length].decode("utf-16-le", "replace")
         yield ref & 0xFFFFFFFFFFFF, parent & 0xFFFFFFFFFFFF, usn, ticks, reason, name
-        at += (size + 7) // 8 * 8
+        at += size
 
 
 def _usn_rows(batches):
     kinds = [*[pa.int64()] * 5, pa.string()]
     for batch in batches:
-        for raw in batch.column("content"):
-            found, names = [], [f.split()[0] for f in _USN.split(", ")]
-            for r in usn_records(raw.as_py() or b""):
-                found.append(r)
-                if len(found) == 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
-                    found = []
+        for raw, size in zip(batch.column("content"), batch.column("size").to_pylist()):
+            found = list(usn_records(raw.as_py() or b"", size))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], [f.split()[0] for f in _USN.split(", ")])
 
 
-def read_usn(spark: SparkSession, path: str) -> DataFrame:
-    """Change journal records, time in microseconds and reasons by name."""
+def read_usn(spark: SparkSession, path: str, step: int = 1 << 20) -> DataFrame:
+    """Change journal records, time in microseconds and reasons by name; `step` is a number of whole pages."""
     from emberlog.operators.forensic import ntfs_time
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_usn_rows, _USN)
+    rows = byte_ranges(spark, path, step=step, extra=PAGE_BYTES).select("size", "content").mapInArrow(_usn_rows, _USN)
     names = F.array_compact(F.array(*(F.when(F.col("reason").bitwiseAND(F.lit(bit)) != 0, n) for bit, n in REASONS.items())))
     return rows.withColumn("us", ntfs_time(F.col("ticks"))).withColumn("reasons", names)
