@@ -124,10 +124,6 @@ def outcome(text: Column, status: Column) -> Column:
     return F.when(status.between(200, 299), "success").when(status >= 400, "failure").otherwise(by_word)
 
 
-def is_private(ip: Column) -> Column:
-    return ip.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
-
-
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
     chars = F.split(text, "")

@@ -254,15 +254,6 @@ def web_database_chain(e):
     return C.interval_chains(e.filter("log_type = 'apache' and action = 'error'"), e.filter("log_type = 'mysql_error'"), HOUR)
 
 
-@_query(""", g AS (SELECT DISTINCT ip, CASE WHEN CAST(split_part(ip, '.', 4) AS INTEGER) % 3 = 0 THEN 'LOCAL' ELSE 'N' || CAST(split_part(ip, '.', 4) AS INTEGER) % 7 END AS country FROM e WHERE CAST(split_part(ip, '.', 4) AS INTEGER) % 5 <> 0)
-SELECT id, e.ip, coalesce(country, '??') AS country FROM e LEFT JOIN g ON e.ip = g.ip""")
-def geo_enrich(e):
-    """Left join of a local ip dimension; unknown ips are ??."""
-    last = F.split_part("ip", F.lit("."), F.lit(4)).cast("int")
-    dim = e.select("ip").distinct().filter(last % 5 != 0).select("ip", F.when(last % 3 == 0, "LOCAL").otherwise(F.concat(F.lit("N"), (last % 7).cast("string"))).alias("country"))
-    return e.join(dim, "ip", "left").select("id", "ip", F.coalesce("country", F.lit("??")).alias("country"))
-
-
 @_query(""" SELECT a.id, a.ip FROM e a WHERE a.is_anomaly AND NOT EXISTS (SELECT 1 FROM e b WHERE b.attack_type IS NOT NULL AND b.id = a.id)""")
 def anomaly_alerts(e):
     """Anomalies that no attack alert has."""
