@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.registry import DETECTORS, DISPATCH, LOG_CODES, PARSERS, Detector, Parser
+from emberlog.operators.times import event_time
 
 RAW = "Custom / Raw"
 SAMPLE, FIRST = 100, 10
@@ -120,25 +120,20 @@ def parse(lines: DataFrame, types: DataFrame, parsers: tuple[Parser, ...] = PARS
     return out.withColumn("log_code", log_code(F.col("log_type")))
 
 
-def timestamps(raw: Column, year: int) -> Column:
-    """A timestamp in any of the known forms; times without a year get `year`; null if none fits."""
-    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][X]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss[ Z]", "dd-MMM-yyyy HH:mm:ss")
-    known = [F.try_to_timestamp(raw, F.lit(f)) for f in forms]
-    short = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(raw, r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    return F.coalesce(*known, short)
+def normalise(parsed: DataFrame, year: int | None = None, near: Column | None = None) -> DataFrame:
+    """Parsed lines as normalised entries: time, severity, source address, port, host and service, user, action, outcome, tags.
 
-
-def normalise(parsed: DataFrame, year: int | None = None) -> DataFrame:
-    """Parsed lines as normalised entries: time, severity, source ip and port, user, action, outcome and tags; times without a year get `year`, this one if none is given."""
+    Times without a year get the last one that does not put them over a day after `near`, a column of the lines such as
+    their file's time; without it, `near` is the end of `year`, or the present.
+    """
     from emberlog.operators import labels as B
 
-    year = year or datetime.now(timezone.utc).year
-
+    if near is None:
+        near = F.current_timestamp() if year is None else F.lit(f"{year}-12-31 23:59:59").cast("timestamp")
     f, line = F.col("fields"), F.col("line")
-    first = lambda *keys: F.coalesce(*(f[k] for k in keys))
-    status = first("status", "status_code").try_cast("int")
+    status = F.coalesce(f["status"], f["status_code"]).try_cast("int")
     return parsed.select(
-        F.sha2(F.concat_ws("\x1f", "source", "line_no", "line"), 256).alias("id"), "source", "line_no", "log_type", timestamps(first("timestamp"), year).alias("event_ts"), B.severity(line).alias("severity"),
-        first("ip", "src_ip", "source_ip", "remote_ip", "client_ip").alias("ip"), first("port", "src_port").try_cast("int").alias("port"), first("user", "username").alias("user"),
-        first("action", "method", "query_type").alias("action"), B.outcome(line, status).alias("outcome"), B.tags(line, F.col("log_type")).alias("tags"), line.alias("message"), "fields",
+        F.sha2(F.concat_ws("\x1f", "source", "line_no", "line"), 256).alias("id"), "source", "line_no", "log_type", event_time(line, f, near).alias("event_ts"), B.severity(line).alias("severity"),
+        B.source_ip(line, f).alias("ip"), B.port(line, f).alias("port"), F.coalesce(f["host"], f["hostname"]).alias("host"), f["service"].alias("service"), B.user(line, f).alias("user"),
+        B.action(line, f).alias("action"), F.coalesce(f["outcome"], B.outcome(line, status)).alias("outcome"), B.tags(line, F.col("log_type")).alias("tags"), line.alias("message"), "fields",
     )

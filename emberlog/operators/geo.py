@@ -75,10 +75,10 @@ def longest_prefix(rows: DataFrame, networks: DataFrame, values: list[str], ip:
     table = prefixes(networks, network).groupBy("family", "length", "prefix").agg(F.min(F.struct(*values)).alias("_v"))
     lengths = table.groupBy("family").agg(F.collect_set("length").alias("lengths"))  # 162 numbers at most
     small = F.broadcast if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda t: t
-    asked = rows.select(F.col(ip).alias("_ip")).distinct().withColumn("_bits", bits(F.col("_ip"))).filter("_bits is not null").withColumn("family", F.length("_bits"))
+    asked = rows.select(F.col(ip).alias("_address")).distinct().withColumn("_bits", bits(F.col("_address"))).filter("_bits is not null").withColumn("family", F.length("_bits"))
     asked = asked.join(F.broadcast(lengths), "family").withColumn("length", F.explode("lengths")).withColumn("prefix", F.expr("substring(_bits, 1, length)"))
-    found = asked.join(small(table), ["family", "length", "prefix"]).groupBy("_ip").agg(F.max_by("_v", "length").alias("_v"))
-    return rows.join(found, F.col(ip) == F.col("_ip"), "left").select(*rows.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
+    found = asked.join(small(table), ["family", "length", "prefix"]).groupBy("_address").agg(F.max_by("_v", "length").alias("_v"))
+    return rows.join(found, F.col(ip) == F.col("_address"), "left").select(*rows.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
 def _inside(own: Column) -> Column:

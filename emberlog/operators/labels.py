@@ -118,12 +118,42 @@ def tags(text: Column, log_type: Column) -> Column:
 
 
 def outcome(text: Column, status: Column) -> Column:
-    """By an integer status (2xx success, 400 and more failure), else by keywords."""
+    """By an integer status (2xx success, 400 and more failure), else by keywords, of which those of success come first."""
     low = F.lower(text)
-    by_word = F.when(low.rlike("fail|denied|error|invalid"), "failure").when(low.rlike("success|accepted|granted"), "success").otherwise("unknown")
+    by_word = F.when(low.rlike("accepted|success|allowed|completed"), "success").when(low.rlike("failed|denied|reject|error|deny|drop"), "failure").otherwise("unknown")
     return F.when(status.between(200, 299), "success").when(status >= 400, "failure").otherwise(by_word)
 
 
+def action(text: Column, fields: Column) -> Column:
+    """The parsed action, else a request's method, else by keywords."""
+    low, method = F.lower(text), F.lower(F.nullif(F.regexp_extract(fields["request"], r"^\s*(\S+)", 1), F.lit("")))
+    by_word = F.when(low.rlike("accepted|success|allow"), "allow").when(low.rlike("failed|denied|reject|drop"), "deny").when(low.rlike("connect|login"), "connect").when(low.rlike("logout"), "disconnect").otherwise("unknown")
+    return F.coalesce(fields["action"], method, by_word)
+
+
+def _first_of(text: Column, *patterns: str) -> Column:
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in patterns))
+
+
+_FOUR = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+
+
+def source_ip(text: Column, fields: Column) -> Column:
+    """The parsed address, a server's before a source's, else one that a keyword names, else the first of the line."""
+    parsed = [fields[k] for k in ("server_ip", "src_ip", "source_ip", "ip")]
+    return F.coalesce(*parsed, _first_of(text, rf"from\s+{_FOUR}", f"SRC={_FOUR}", f"srcip={_FOUR}", f"src_ip={_FOUR}", _FOUR))
+
+
+def port(text: Column, fields: Column) -> Column:
+    """The port that a keyword names, else the parsed one."""
+    return F.coalesce(_first_of(text, r"port\s+(\d+)", r"DPT=(\d+)", r"dstport=(\d+)"), fields["port"], fields["src_port"]).try_cast("int")
+
+
+def user(text: Column, fields: Column) -> Column:
+    """The parsed user, else one that a keyword names, else the parsed user name."""
+    return F.coalesce(fields["user"], _first_of(text, r"for\s+(\S+)\s+from", r"user[=:\s]+(\w+)", r"User:\s*(\S+)", r"server_principal_name=([^=,\s]+)"), fields["username"])
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
     chars = F.split(text, "")
