@@ -124,12 +124,12 @@ def normalise(parsed: DataFrame, year: int | None = None, near: Column | None =
     """Parsed lines as normalised entries: time, severity, source address, port, host and service, user, action, outcome, tags.
 
     Times without a year get the last one that does not put them over a day after `near`, a column of the lines such as
-    their file's time; without it, `near` is the end of `year`, or the present.
+    their file's time; without it, `near` is a day before the end of `year`, or the present.
     """
     from emberlog.operators import labels as B
 
     if near is None:
-        near = F.current_timestamp() if year is None else F.lit(f"{year}-12-31 23:59:59").cast("timestamp")
+        near = F.current_timestamp() if year is None else F.lit(f"{year}-12-30 23:59:59").cast("timestamp")
     f, line = F.col("fields"), F.col("line")
     status = F.coalesce(f["status"], f["status_code"]).try_cast("int")
     return parsed.select(

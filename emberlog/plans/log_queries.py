@@ -171,3 +171,34 @@ def parse_lines(spark, sf_dir):
 
 
 QUERIES |= {"detect_log_types": detect_log_types, "parse_lines": parse_lines}
+
+
+# ---- times of lines in many formats: user modulo the number of forms is the source
+
+#: (name, what comes before the time, its format, what comes after it, digits of its fraction)
+_TIMED = (
+    ("apache", '10.0.0.1 - - [', "dd/MMM/yyyy:HH:mm:ss", ' +0000] "GET /a HTTP/1.1" 200 7', 0), ("apache_error", "[", "EEE MMM dd HH:mm:ss.SSSSSS yyyy", "] [core:warn] [pid 4711] slow", 6),
+    ("django", "[", "dd/MMM/yyyy HH:mm:ss", '] "GET /polls" 200', 0), ("cloudtrail", '{"eventTime":"', "yyyy-MM-dd'T'HH:mm:ss", 'Z","eventName":"Put","awsRegion":"eu"}', 0), ("docker", '{"log":"ready","stream":"stderr","time":"', "yyyy-MM-dd'T'HH:mm:ss.SSS", 'Z"}', 3),
+    ("laravel", "[", "yyyy-MM-dd HH:mm:ss", "] production.ERROR: no route", 0), ("gunicorn", "[", "yyyy-MM-dd HH:mm:ss", " +0000] [31] [INFO] Booting", 0), ("spring", "", "yyyy-MM-dd HH:mm:ss.SSS", " WARN shop.Api - GET /x 503", 3),
+    ("iis", "", "yyyy-MM-dd HH:mm:ss", " 10.0.0.1 GET /x.aspx q=1 80 - 10.0.0.9 Agent 200 ", 0), ("postfix", "", "MMM dd HH:mm:ss", " mx2 postfix/qmgr[512]: 4F: removed", 0), ("exim", "", "yyyy-MM-dd HH:mm:ss", " 1TXYZA-0007 => olga@mail.test R=dns", 0),
+    ("viewer", "Audit Failure ", "dd-MM-yyyy HH:mm:ss", " Security-Auditing 4625", 0), ("palo_alto", "", "yyyy/MM/dd HH:mm:ss", " drop udp 10.0.0.2 10.0.0.9 rule=dns", 0), ("fortigate", "date=", "yyyy-MM-dd 'time='HH:mm:ss", " action=deny srcip=10.0.0.2 dstip=10.0.0.9", 0),
+    ("mysql", "", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "Z 17 Query select 1", 6), ("postgres", "", "yyyy-MM-dd HH:mm:ss.SSS", " UTC [88] olga@crm FATAL: gone", 3), ("oracle", "", "EEE MMM dd HH:mm:ss yyyy", "", 0), ("listener", "", "dd-MMM-yyyy HH:mm:ss", " * (CONNECT_DATA=(SERVICE_NAME=crm)) * x", 0),
+    ("sshd", "", "MMM dd HH:mm:ss", " db3 sshd[610]: Failed password for olga from 10.0.0.2 port 4000 ssh2", 0), ("filezilla", "(000017)", "dd/MM/yyyy HH:mm:ss", " - olga (10.0.0.2)> 226 done", 0), ("iis_ftp", "", "yyyy-MM-dd HH:mm:ss", " 10.0.0.2 olga 10.0.0.9 21 STOR /a.bin 226 0 512 77", 0),
+    ("xferlog", "", "EEE MMM dd HH:mm:ss yyyy", " 4 10.0.0.2 512 /a.bin b _ o r olga ftp 1 * c", 0), ("redis", "12:M ", "d MMM yyyy HH:mm:ss.SSS", " * ready", 3), ("kafka", "[", "yyyy-MM-dd'T'HH:mm:ss,SSS", " INFO] broker up", 3), ("offset", "at ", "yyyy-MM-dd'T'HH:mm:ss.SSS", "+00:00 done", 3), ("raw", "user=x ", "yyyy/MM/dd HH:mm:ss", " code=7", 0),
+)
+
+ORACLES["event_times"] = SQL + f""" SELECT id AS line_no, ([{", ".join(_quoted(x[0]) for x in _TIMED)}])[CAST(substr("user", 2) AS BIGINT) % {len(_TIMED)} + 1] AS source,
+  us // ([{", ".join(str(10 ** (6 - x[4])) for x in _TIMED)}])[CAST(substr("user", 2) AS BIGINT) % {len(_TIMED)} + 1] * ([{", ".join(str(10 ** (6 - x[4])) for x in _TIMED)}])[CAST(substr("user", 2) AS BIGINT) % {len(_TIMED)} + 1] AS us FROM e WHERE id IS NOT NULL"""
+
+
+def event_times(spark, sf_dir):
+    """The times that lines of 26 formats are given, by their fields or their text."""
+    e = entries(spark, sf_dir).filter("id is not null")
+    which = (F.substring("user", 2, 20).cast("long") % len(_TIMED) + 1).cast("int")
+    line = F.element_at(F.array(*(F.concat(F.lit(a), F.date_format("event_ts", f), F.lit(b)) for _, a, f, b, _ in _TIMED)), which)
+    rows = e.select(F.element_at(F.array(*(F.lit(x[0]) for x in _TIMED)), which).alias("source"), F.col("id").alias("line_no"), line.alias("line"))
+    found = T.normalise(T.parse(rows, T.detect(rows)), 2024)
+    return found.select("source", "line_no", F.unix_micros("event_ts").alias("us"))
+
+
+QUERIES["event_times"] = event_times
