@@ -1,4 +1,5 @@
-"""Streams of entries: minute counts, sliding detections, deduplication and exact anchored windows.
+"""Streams of entries: minute counts, sliding counts, deduplication and sessions. Rules that need rows in order are in
+`emberlog.streaming.ordered`.
 
 Entries carry `event_ts`. Rows later than the watermark are dropped by Spark; queries keep their offsets and state in
 the checkpoint folder that the caller names, so a restart goes on where it ended.
@@ -6,12 +7,8 @@ the checkpoint folder that the caller names, so a restart goes on where it ended
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "10 minutes"
 
@@ -40,34 +37,6 @@ def sessions(e: DataFrame, gap: str = "60 seconds", late: str = WATERMARK) -> Da
     return g.select("ip", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def anchored_windows(e: DataFrame, width_us: int) -> DataFrame:
-    """(ip, window_start, n, failed) of windows that open at the first event after the last one's end.
-
-    The state holds the open window alone. Entries of one batch are taken in order of time; an entry that is older than
-    the open window counts in it. A window goes out when a later one opens or its ip has been silent for the timeout.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        start, n, failed = state.get if state.exists else (None, 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"ip": [key[0]], "window_start": [start], "n": [n], "failed": [failed]})
-            return
-        rows = pd.concat(list(batches)).sort_values("us", kind="stable")
-        for us, bad in zip(rows["us"], rows["outcome"] == "failure"):
-            if start is None or us > start + width_us:
-                if start is not None:
-                    done.append((key[0], start, n, failed))
-                start, n, failed = int(us), 0, 0
-            n, failed = n + 1, failed + int(bad)
-        state.update((start, n, failed))
-        state.setTimeoutDuration(max(1, width_us // 1000))
-        yield pd.DataFrame(done, columns=["ip", "window_start", "n", "failed"])
-
-    return e.select("ip", "us", "outcome").groupBy("ip").applyInPandasWithState(step, "ip string, window_start long, n long, failed long", "start long, n long, failed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def parse_stream(lines: DataFrame, sink, checkpoint: str, year: int | None = None):
     """Start a query that detects, parses and normalises each micro-batch of (source, line_no, line) and hands it to `sink(df, batch)`."""
     from emberlog.operators import detect

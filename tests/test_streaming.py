@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from emberlog.operators import detections as D
 from emberlog.plans.entries import entries
 from emberlog.streaming import jobs as J
 
@@ -26,12 +25,3 @@ def test_minute_counts_equal_batch(spark, tmp_path):
     got = {(r.minute, r.n) for r in _run(J.minute_counts(s), "minutes", "complete", tmp_path).collect()}
     want = {(r.m, r.n) for r in e.groupBy(F.date_trunc("minute", "event_ts").alias("m")).agg(F.count("*").alias("n")).collect()}
     assert got == want
-
-
-def test_anchored_windows_equal_batch_but_the_open_one(spark, tmp_path):
-    e, s = _stream(spark, tmp_path, ["id", "us", "ip", "outcome"])
-    width = 6 * 3_600_000_000
-    got = {(r.ip, r.window_start, r.n) for r in _run(J.anchored_windows(s, width), "anchored", "append", tmp_path).collect()}
-    every = {(r.ip, r.window_start, r.n) for r in D.greedy_windows(e, "ip", width).groupBy("ip", "window_start").agg(F.count("*").alias("n")).collect()}
-    last = {ip: max(w for i, w, _ in every if i == ip) for ip, *_ in every}
-    assert {x for x in every if x[1] < last[x[0]]} <= got <= every
