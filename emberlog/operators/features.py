@@ -92,7 +92,7 @@ def text_classifier(labelled: DataFrame, text: str = "message", label: str = "at
 
     counts = labelled.groupBy(label).agg(F.count("*").alias("_n"))
     total = labelled.count()
-    weighed = labelled.join(F.broadcast(counts.limit(10_000)), label).withColumn("weight", F.lit(float(total)) / F.col("_n"))
+    weighed = labelled.join(counts, label).withColumn("weight", F.lit(float(total)) / F.col("_n"))
     stages = [
         StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"), RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+"),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=terms), IDF(inputCol="tf", outputCol="features"), LogisticRegression(weightCol="weight", maxIter=30, regParam=0.01),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 _CLOCK = r"(\d{2}:\d{2}:\d{2})"
-_FRACTION = r"(?:[.,](\d{1,9})\d*)?"
+#: Behind a point, or three digits behind a comma that no further column follows.
+_FRACTION = r"(?:[.,](?:(?<=\.)|(?=\d{3}\b(?!,)))(\d{1,9})\d*)?"
 _MONTH = r"((?i:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec))[a-z]*"
 #: A zone: an offset in hours and minutes, or a name.
 _ZONE = r"(?:\s?([+-]\d{2}):?(\d{2})\b|\s?(Z|UTC|GMT|[CEMPAW][SDE]?S?T|CEST|EEST|WEST|BST|MSK|JST)\b)?"

@@ -34,7 +34,7 @@ CASES = [
     ("2024/01/06 10:00:00", "2024-01-06 10:00:00"), ("6 Jan 2024 10:00:00.25", "2024-01-06 10:00:00.250000"), ("06-01-2024 10:00:00", "2024-01-06 10:00:00"), ("date=2024-01-06 time=10:00:00 a", "2024-01-06 10:00:00"), ("2024-01-06 10:00:00 INFO x", "2024-01-06 10:00:00"),
     ("2024-07-06 10:00:00 CEST", "2024-07-06 08:00:00"), ("Mon Jan  6 10:00:00.5 UTC 2024", "2024-01-06 10:00:00.500000"), ("1740985689.5 a", "2025-03-03 07:08:09.500000"), ("1740985689123 a", "2025-03-03 07:08:09.123000"), ("msg=audit(1740985689.001:7)", "2025-03-03 07:08:09.001000"),
     ("Mar  3 07:08:09 h", "2025-03-03 07:08:09"), ("Dec 31 23:59:59 h", "2024-12-31 23:59:59"), ("Jun  1 12:00:00 h", "2025-06-01 12:00:00"), ("Jun  3 12:00:00 h", "2024-06-03 12:00:00"), ("Feb 29 01:02:03 h", "2024-02-29 01:02:03"),
-    ("no time 12:61 here", None), ("2024-13-01 10:00:00", None), ("", None), (None, None), ("123456789012 x", None), ("17409856891.5", None),
+    ("2024-01-01 10:00:00,4625,Information,Security", "2024-01-01 10:00:00"), ("2024-01-01 10:00:00,100,Error", "2024-01-01 10:00:00"), ("no time 12:61 here", None), ("2024-13-01 10:00:00", None), ("", None), (None, None), ("123456789012 x", None), ("17409856891.5", None),
 ]
 
 
