@@ -27,8 +27,12 @@ def _rows(df: DataFrame, cond: Column, rule: str, severity: Column, points: Colu
 
 
 def standard_vs_name(files: DataFrame) -> DataFrame:
-    """Standard and file-name creation differ by over a second: HIGH and 30 points over a day, else 15."""
+    """Standard and file-name times of creation, or of the last change where both are known (fn_modified_us), differ by over a
+    second: HIGH and 30 points over a day, else 15.
+    """
     gap = F.abs(F.col("created_us") - F.col("fn_created_us"))
+    if "fn_modified_us" in files.columns:
+        gap = F.greatest(gap, F.abs(F.col("modified_us") - F.col("fn_modified_us")))  # nulls are passed over
     return _rows(files, gap > SECOND, "standard_vs_name", F.when(gap > DAY, "HIGH").otherwise("MEDIUM"), F.when(gap > DAY, 30).otherwise(15))
 
 

@@ -94,6 +94,16 @@ def clock_rollbacks(events: DataFrame, key: str = "source", order: str = "number
     return e.filter("us < before_us").select(key, order, (F.col("before_us") - F.col("us")).alias("back_us"), told.alias("announced"))
 
 
+def prefetch_missing(files: DataFrame, prefetch: DataFrame, as_of_us: int, days: int = 30) -> DataFrame:
+    """Programs made 1 to `days` - 1 whole days ago that no prefetch file names: LOW 10."""
+    from emberlog.operators.artefacts import without_prefetch
+
+    age = F.expr(f"({as_of_us} - created_us) div {DAY}")
+    recent = files.filter(age.between(1, days - 1))
+    gone = without_prefetch(recent, prefetch).select("record")
+    return _rows(recent.join(gone, "record", "left_semi"), F.lit(True), "prefetch_missing", F.lit("LOW"), F.lit(10))
+
+
 # Words of file names and the importance of the artefact
 TRIAGE = (
     ("critical", ("timestomp", "security", "usnjrnl", "mft", "logfile", "sam", "system.evtx")),

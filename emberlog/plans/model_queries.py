@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlog.operators import autoparse as A
+from emberlog.operators import descriptors as D
 from emberlog.operators import models as M
 from emberlog.plans.entries import SQL, entries
 
@@ -72,3 +73,17 @@ def classifier_measures(spark, sf_dir):
     table = M.confusion(e.select(F.col("action").alias("label"), F.when(F.col("port") < 60, F.col("action")).when(F.col("port") < 80, "error").otherwise(F.col("outcome")).alias("prediction")))
     all_ = M.measures(table).select(F.lit("weighted").alias("label"), F.lit(None).cast("double").alias("precision"), F.col("accuracy").alias("recall"), F.col("weighted_f1").alias("f1"), F.col("rows").alias("support"))
     return M.class_report(table).unionByName(all_)
+
+
+@_query(""", d AS (SELECT id, action, "user" AS u, ip, port FROM e WHERE id IS NOT NULL)
+SELECT id, 'svc_' || action AS service_name, CASE WHEN port % 2 = 0 THEN u END AS cid_user, CASE WHEN port % 3 > 0 THEN ip END AS host, CASE WHEN port % 3 = 1 THEN port::VARCHAR END AS port, 'establish' AS action FROM d""")
+def nested_descriptors(spark, sf_dir):
+    """Services, users, hosts and ports of listener lines whose brackets nest in three ways."""
+    e = entries(spark, sf_dir).filter("id is not null")
+    k = F.col("port")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    cid = F.when(k % 2 == 0, text("(CID=(PROGRAM=app)(USER=", F.col("user"), "))")).otherwise("")
+    address = F.when(k % 3 == 0, "").when(k % 3 == 1, text("(PROTOCOL=tcp)(HOST=", F.col("ip"), ")(PORT=", k, ")")).otherwise(text("(PORT=)(HOST=", F.col("ip"), ")"))
+    line = text("01-JAN-2024 00:00:06 * (CONNECT_DATA=(SERVICE_NAME=svc_", F.col("action"), ")", cid, ") * (ADDRESS=", address, ") * establish * crm * 0")
+    got = e.select("id", D.listener(line).alias("m"))
+    return got.select("id", *(F.col("m")[c].alias(c) for c in ("service_name", "cid_user", "host", "port", "action")))

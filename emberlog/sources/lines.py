@@ -63,6 +63,42 @@ def timeline_rows(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(p) >= len(names)).select(*(clean(i).alias(n) for i, n in enumerate(names))).dropDuplicates(["name", "created", "modified"])
 
 
+def journal_text(lines: DataFrame) -> DataFrame:
+    """Change journals as text (source, timestamp, line): lines that hold a date and clock, but rules and empty notices."""
+    time = F.regexp_extract("line", r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})", 1)
+    kept = lines.filter((F.trim("line") != "") & ~F.startswith("line", F.lit("=")) & ~F.contains("line", F.lit("No USN")))
+    return kept.withColumn("timestamp", time).filter("timestamp <> ''").select("source", "timestamp", "line")
+
+
+def training_rows(spark: SparkSession, path: str, columns: tuple[str, ...], label: str = "attack_cat", names: dict[str, str] | None = None) -> DataFrame:
+    """Flow records of a csv file with a header as numbers with an `attack_type`: what is missing, no number or infinite is 0.
+
+    Types are mapped by `names`, whose key may be in any case; none, empty and `Normal` are normal, others `other`. Columns
+    that the file lacks are left out.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    there = {c.strip().lower(): c for c in raw.columns}
+    number = lambda c: F.coalesce(F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c), F.lit(0.0))
+    kind = F.lower(F.trim(raw[there[label.lower()]])) if label.lower() in there else F.lit("normal")
+    whens = F.when(F.coalesce(kind, F.lit("")).isin("", "normal"), "normal")
+    for k, v in (names or {}).items():
+        whens = whens.when(kind == k.strip().lower(), v)
+    own = [number(F.trim(raw[there[c.lower()]]).try_cast("double")).alias(c) for c in columns if c.lower() in there]
+    return raw.select(*own, whens.otherwise("other").alias("attack_type"))
+
+
+def write_report(found: DataFrame, path: str, kind: str, title: str = "Report") -> None:
+    """Findings (record, rule, severity, points) as txt, json or csv, the most severe first, in parts that keep that order."""
+    worst = F.array_position(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW"))), F.col("severity"))
+    rows = found.orderBy(F.when(worst == 0, 9).otherwise(worst), F.desc("points"), "record", "rule")
+    if kind == "txt":
+        line = F.format_string("[%s] record %s: %s (%s points)", "severity", F.col("record").cast("string"), "rule", F.col("points").cast("string"))
+        head = found.sparkSession.createDataFrame([(title,), ("=" * len(title),)], "value string").coalesce(1)
+        head.unionByName(rows.select(line.alias("value"))).write.mode("overwrite").text(path)
+    else:
+        export(rows, path, kind)
+
+
 def export(entries: DataFrame, path: str, kind: str = "csv") -> None:
     """Write entries as csv (with a header, quotes doubled), json or text."""
     if kind == "csv":
