@@ -2,8 +2,10 @@
 
 The longest fitting rule decides. Otherwise the URL is blocked if the regression, trained from a small labelled URL
 table, gives a probability of THRESHOLD or more. Training data are a bounded table that the driver holds; scoring runs
-where the rows lie, a batch at a time. An n-gram counts by its number over the root of the URL's number of n-grams; one
-that the table lacks counts nothing, and most of the table is wanted, so a URL of unknown words is allowed.
+where the rows lie, a batch at a time. N-grams are those of the words of host and path, runs of letters with a mark at
+either end; digits and signs carry nothing, so the numbers of a path do not sway a host's verdict. Each n-gram counts
+alike, however long the URL is, and one that the table lacks counts nothing. A URL of unknown words stays near the
+intercept, under THRESHOLD, and is allowed.
 
 The labelled table is made of common words: hosts and paths of kinds of site that corpora leave out (gambling, adult,
 pills, loans, downloads of cracked software, link and ad farms) and of kinds that they keep.
@@ -15,6 +17,7 @@ An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable
 from functools import reduce
@@ -28,7 +31,10 @@ from emberlog.llm import shared as S
 
 BITS = 18
 ORDERS = (3, 4, 5)
-THRESHOLD = 0.5
+#: Above what made-up names get that were not learned from.
+THRESHOLD = 0.7
+#: What an n-gram counts.
+UNIT = 0.25
 MOST_LABELLED = 10_000
 
 #: (verdict, rule)
@@ -89,10 +95,17 @@ def longest_rule(host, path, rules: Iterable[tuple[str, str]]):
     return (pick(1), pick(0)) if order else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> str:
+    return "".join(f"^{w}$" for w in _WORD.findall(text.lower()))
+
+
 def buckets(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of hosts and paths laid end to end, and the row of each; the two are told apart by a seed."""
+    """Hashed n-grams of the words of hosts and paths, and the row of each; the two are told apart by a seed."""
     out, rows = [], []
-    for seed, texts in ((1, [f"^{h}$" if h else "" for h in hosts]), (2, paths)):
+    for seed, texts in ((1, list(map(_words, hosts))), (2, list(map(_words, paths)))):
         off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         c = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         row = np.repeat(np.arange(len(texts)), np.diff(off))
@@ -112,13 +125,12 @@ def train(labelled: list[tuple[str, str, int]], l2: float = 1e-3, steps: int = 4
     n = len(labelled)
     at, row = buckets([h for h, _, _ in labelled], [p for _, p, _ in labelled])
     seen, at = np.unique(at, return_inverse=True)
-    value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))[row]
     y = np.array([v for *_, v in labelled], np.float64)
     w, b = np.zeros(len(seen)), 0.0
     for _ in range(steps if n else 0):
-        z = np.bincount(row, value * w[at], n) + b
+        z = UNIT * np.bincount(row, w[at], n) + b
         g = (1 / (1 + np.exp(-z)) - y) / n
-        w -= rate * np.bincount(at, value * g[row], len(seen)) + l2 * w
+        w -= rate * UNIT * np.bincount(at, g[row], len(seen)) + l2 * w
         b -= g.sum()
     out = np.zeros(1 << BITS, np.float32)
     out[seen] = w
@@ -129,7 +141,7 @@ def probabilities(hosts: list[str], paths: list[str], w: np.ndarray, b: float) -
     """The probability that each URL is unwanted; 0 without a host."""
     n = len(hosts)
     at, row = buckets(hosts, paths)
-    z = np.bincount(row, w[at], n) / np.sqrt(np.maximum(1, np.bincount(row, minlength=n))) + b
+    z = UNIT * np.bincount(row, w[at], n) + b
     return np.where([bool(h) for h in hosts], 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
 
 
