@@ -34,6 +34,8 @@ WINDOW = 100
 RATE = 0.06
 STEP = 25
 BLOCK = 50_000
+#: Blocks that one stage judges, each in a Python worker of its own; then the verdicts so far are written as a table.
+CHAIN = 4
 #: Postings at hand at a time, beyond which a text is halved.
 MOST = 2_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -197,6 +199,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: in
         rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
         if rows.value:
             docs = docs.mapInArrow(_judged(rows, rate, most), docs.schema)
+        if b % CHAIN == CHAIN - 1 and b < blocks - 1:
+            docs = S.table(docs)
     return docs
 
 
