@@ -179,7 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict |
     """A model from `docs` (doc_id, text, source, lang, n_chars) and `labels` (doc_id, quality)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(labelled)
-    got = metadata(docs).join(F.broadcast(picked), "doc_id").mapInArrow(_features, FEATURES).limit(2 * labelled).toArrow()
+    rows = metadata(docs).join(F.broadcast(picked), "doc_id")
+    # of rows that share a doc_id the one whose text has the largest hash is learned from
+    one = rows.groupBy("doc_id").agg(F.max_by(F.struct("text", "meta", "label"), F.struct(F.xxhash64("text"), "meta")).alias("r")).select("doc_id", "r.*")
+    got = one.mapInArrow(_features, FEATURES).toArrow()
     order = np.lexsort([[len(x) for x in got["idx"]], got["doc_id"].to_numpy()])
     y = np.minimum(got["label"].to_numpy(), 1)[order]
     if not ((y == 0).sum() >= 5 and (y == 1).sum() >= 5):
