@@ -239,7 +239,7 @@ def test_a_host_has_one_verdict_whatever_its_numbers(spark):
     bare = {}
     for r in got:
         bare.setdefault((r.host, re.sub(r"\d", "", r.path)), set()).add(r.verdict)
-    assert len(bare) > 300 and all(len(v) == 1 for v in bare.values())
+    assert len(bare) > 200 and all(len(v) == 1 for v in bare.values())
     bad = [r.verdict for r in got if re.search("casino|adult|spam|pills|bets", r.host)]
     assert len(bad) > 50 and set(bad) == {"block"}
 
