@@ -10,15 +10,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Regex families counted per message, three at most
-FAMILIES = {"sql": r"(?i)union|select|drop|insert", "script": r"(?i)<script|onerror|javascript:", "path": r"\.\./|%2e%2e", "shell": r";|\||&&|\$\(", "encoded": r"%[0-9a-fA-F]{2}"}
-
-
-def message_features(text: Column, ts: Column) -> list[Column]:
-    """Length, counts of pattern families capped at 3 and divided by 3, hour and weekday (Monday is 0)."""
-    cols = [F.least(F.length(text) / 500, F.lit(1.0)).alias("length")]
-    cols += [(F.least(F.regexp_count(text, F.lit(p)), F.lit(3)) / 3).alias(n) for n, p in FAMILIES.items()]
-    return cols + [F.hour(ts).cast("double").alias("hour"), F.weekday(ts).cast("double").alias("weekday")]
+# Families of patterns that are counted in a text, three at most
+FAMILIES = {
+    "sql": r"union\s+select|select\s+.*\s+from|drop\s+table|;\s*--|--\s*$|'\s*or\s+'?1'?\s*=\s*'?1|\"\s*or\s+\"?1\"?\s*=\s*\"?1|or\s+'1'\s*=\s*'1|or\s+1\s*=\s*1|and\s+1\s*=\s*1|\bor\b.*=.*\bor\b|\band\b.*=.*\band\b",
+    "script": r"<script|javascript:|on\w+\s*=|<iframe|<object|<embed|alert\(|document\.cookie|document\.location",
+    "command": r"[;|`]\s*(cat|ls|wget|curl|nc|bash|sh|whoami|id|uname|pwd|echo|chmod)\s|chmod\s+\d+|wget\s+http|curl\s+http|\$\(|\$\{|`.*`",
+    "traversal": r"\.\.(/|\\)|%2e%2e|\.\.\\|%252e%252e|etc/passwd|win\.ini|boot\.ini|\.htaccess|\.htpasswd",
+    "inclusion": r"\?(page|file|path|include|document)\s*=.*http|\?.*=.*\.\.|include\s*\(|require\s*\(|require_once\s*\(|virtual\s*\(",
+}
+SYSTEM_FILES = r"/etc/|/proc/|/var/|/usr/|\\windows\\|\\system32\\"
+SENSITIVE = ("password", "credential", "token", "secret", "key", "auth")
+# What a text has or lacks
+FLAGS = {
+    "url_encoding": r"%[0-9a-fA-F]{2}", "ip_in_text": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "port_in_text": r"port\s+\d+|:\d{2,5}", "angle_brackets": r"<[^>]+>", "single_quote": "'", "quoted_value": r"=\s*['\"]",
+    "double_dash": "--", "semicolon": ";", "pipe": r"\|", "backtick": "`", "connection": "connection|port",
+}
+ANONYMOUS = ("", "anonymous", "www-data", "nobody", "root")
+LEVELS = {"debug": 0, "info": 1, "warning": 2, "error": 3, "critical": 4}
+#: The 25 features in order.
+ATTACK_FEATURES = (
+    "external", "length", *FAMILIES, "http", "failure", "severe", "anonymous", "url_encoding", "ip_in_text", "port_in_text", "system_files", "sensitive", "login", "angle_brackets", "single_quote", "quoted_value",
+    "double_dash", "semicolon", "pipe", "backtick", "connection",
+)
+
+
+def _third(n: Column) -> Column:
+    return F.least(n / 3, F.lit(1.0))
+
+
+def attack_features(message: Column, raw: Column, ip: Column, severity: Column, outcome: Column, user: Column, action: Column) -> list[Column]:
+    """The 25 features of an entry for attack classification, 0 to 1 each: of the raw line, or of the message without one."""
+    text = F.lower(F.coalesce(F.nullif(raw, F.lit("")), message, F.lit("")))
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    values = {"external": flag(~F.coalesce(ip, F.lit("")).rlike(r"^(?:192\.168\.|10\.|172\.(?:1[6-9]|2\d|3[01]))")), "length": F.least(F.length(text) / 500, F.lit(1.0))}
+    values |= {n: _third(F.regexp_count(text, F.lit(f"(?i){p}"))) for n, p in FAMILIES.items()}
+    values |= {
+        "http": flag(text.rlike(r"\b(?:get|post|put|delete|patch)\s+/")), "failure": flag(F.coalesce(outcome, F.lit("")).rlike(r"^(?:failure|[45]\d{2})$")), "severe": flag(severity.isin("warning", "error", "critical")),
+        "anonymous": flag(F.coalesce(user, F.lit("")).isin(*ANONYMOUS)), "system_files": _third(F.regexp_count(text, F.lit(SYSTEM_FILES))), "sensitive": _third(reduce(lambda a, b: a + b, (text.contains(w).cast("int") for w in SENSITIVE))),
+        "login": flag(F.coalesce(F.lower(action), F.lit("")).contains("login") | text.rlike("auth|password")), **{n: flag(text.rlike(p)) for n, p in FLAGS.items()},
+    }
+    return [values[n].alias(n) for n in ATTACK_FEATURES]
+
+
+def anomaly_features(ip: Column, user: Column, message: Column, severity: Column, ts: Column, fields: Column | None = None) -> list[Column]:
+    """Hashes of address and user in thousandths, length, severity, hour and weekday (one half without a time). With `fields`
+    their number is a seventh feature, and length and severity are not scaled to 1.
+    """
+    share = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0.0).otherwise(F.pmod(F.xxhash64(c), F.lit(1000)) / 1000)
+    level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in LEVELS.items() for x in p)), severity), F.lit(1)).cast("double")
+    length = F.length(F.coalesce(message, F.lit(""))) / 1000
+    out = [share(ip).alias("ip"), share(user).alias("user")]
+    out += [F.least(length, F.lit(1.0)).alias("length"), (level / 4).alias("severity")] if fields is None else [length.alias("length"), level.alias("severity"), (F.coalesce(F.size(fields), F.lit(0)) / 10).alias("fields")]
+    return [*out, F.coalesce(F.hour(ts) / 24, F.lit(0.5)).alias("hour"), F.coalesce(F.weekday(ts) / 7, F.lit(0.5)).alias("weekday")]
 
 
 def linear_score(features: DataFrame, weights: dict[str, float], ranges: dict[str, float], threshold: float = 0.5) -> DataFrame:

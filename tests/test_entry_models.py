@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import models as M
@@ -105,3 +106,44 @@ def test_forest(spark):
     assert got.test_accuracy > 0.95 and got.weighted_f1 > 0.95 and len(got.fold_accuracy) == 2 and min(got.fold_accuracy) > 0.95
     again = {r.kind: r.predicted for r in got.model.transform(df).filter("id < 50").collect()}
     assert set(again) == {"a", "b", "c"}
+
+
+ATTACKS = "message string, raw string, ip string, severity string, outcome string, user string, action string"
+
+
+def test_attack_features(spark):
+    from emberlog.operators import features as T
+
+    rows = [
+        ("x", "GET /a?id=1' OR '1'='1 union  select a -- ", "203.0.113.5", "error", "404", "", "view"),
+        ("<script>alert(1)</script> onload=x document.cookie", None, "172.20.0.1", "info", "success", "bo", "Login"),
+        ("; cat /etc/passwd | ls $(id) `x` ../../ /proc/ /var/", "", "10.0.0.1", "debug", "failure", "root", None),
+        (None, None, None, None, None, None, None),
+        ("Password token secret key auth port 22 198.18.0.1:443 ?file=http://x a='b'", None, "192.168.0.1", "critical", "500x", "kim", "a"),
+    ]
+    df = spark.createDataFrame(rows, ATTACKS)
+    got = [r.asDict() for r in df.select(*T.attack_features(*(F.col(c.split()[0]) for c in ATTACKS.split(", ")))).collect()]
+    assert list(got[0]) == list(T.ATTACK_FEATURES) and len(got[0]) == 25
+    some = [
+        {"external": 1.0, "sql": 1.0, "http": 1.0, "failure": 1.0, "severe": 1.0, "anonymous": 1.0, "single_quote": 1.0, "quoted_value": 1.0, "double_dash": 1.0, "login": 0.0, "script": 0.0},
+        {"external": 0.0, "script": 1.0, "angle_brackets": 1.0, "login": 1.0, "failure": 0.0, "anonymous": 0.0, "severe": 0.0, "http": 0.0},
+        {"external": 0.0, "command": 1.0, "traversal": 1.0, "system_files": 1.0, "semicolon": 1.0, "pipe": 1.0, "backtick": 1.0, "failure": 1.0, "anonymous": 1.0},
+        dict.fromkeys(T.ATTACK_FEATURES, 0.0) | {"external": 1.0, "anonymous": 1.0},
+        {"sensitive": 1.0, "login": 1.0, "port_in_text": 1.0, "ip_in_text": 1.0, "connection": 1.0, "inclusion": 1 / 3, "severe": 1.0, "failure": 0.0, "quoted_value": 1.0},
+    ]
+    for row, want in zip(got, some):
+        assert {k: row[k] for k in want} == pytest.approx(want)
+    assert got[0]["length"] == pytest.approx(len(rows[0][1]) / 500)
+
+
+def test_anomaly_features(spark):
+    from emberlog.operators import features as T
+
+    rows = [("a", "b", "m" * 2500, "error", datetime(2024, 1, 3, 6), {"x": "1"}), ("a", None, None, "odd", None, None)]
+    df = spark.createDataFrame(rows, "ip string, user string, message string, severity string, ts timestamp, fields map<string,string>")
+    c = [F.col(x) for x in ("ip", "user", "message", "severity", "ts")]
+    a, b = df.select(*T.anomaly_features(*c)).collect()
+    assert a.ip == b.ip and 0 <= a.ip < 1 and b.user == 0.0 and (a.length, a.severity, a.hour) == (1.0, 0.75, 0.25) and a.weekday == pytest.approx(2 / 7)
+    assert (b.length, b.severity, b.hour, b.weekday) == (0.0, 0.25, 0.5, 0.5)
+    a, b = df.select(*T.anomaly_features(*c, F.col("fields"))).collect()
+    assert (a.length, a.severity, a.fields, b.fields) == (2.5, 3.0, 0.1, 0.0)
