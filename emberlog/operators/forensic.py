@@ -106,9 +106,9 @@ def z_outliers(df: DataFrame, value: str, limit: float = 3.0) -> DataFrame:
     return df.crossJoin(m).filter("_s > 0").withColumn("z", z).filter(F.abs("z") > limit).drop("_m", "_s")
 
 
-def sequence_order(log: DataFrame, key: str, order: str, time: str) -> DataFrame:
-    """Operations whose time is before that of the preceding one of the same file."""
-    prev = F.lag(time).over(Window.partitionBy(key).orderBy(order))
+def sequence_order(log: DataFrame, key: str, order: str, time: str, *ties: str) -> DataFrame:
+    """Operations whose time is before that of the preceding one of the same file; equal places come in order of `ties`."""
+    prev = F.lag(time).over(Window.partitionBy(key).orderBy(order, *ties))
     return log.withColumn("prev", prev).filter(F.col(time) < F.col("prev"))
 
 

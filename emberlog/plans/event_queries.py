@@ -12,7 +12,9 @@ from emberlog.operators import features as M
 from emberlog.operators import filters as L
 from emberlog.operators import labels as B
 from emberlog.operators import stats as A
+from emberlog.operators import sets as X
 from emberlog.plans.entries import SQL, entries
+from emberlog.sources import lines
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,8 +90,7 @@ def windowed_spray_chains(e):
 
 @_query(""" SELECT ip, min_by(id, us::HUGEINT * 100000000 + id) AS first_id, max_by(id, us::HUGEINT * 100000000 + id) AS last_id FROM e GROUP BY ip""")
 def first_last_event(e):
-    at = F.struct("us", "id")
-    return e.groupBy("ip").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"))
+    return X.first_and_last(e)
 
 
 # ---- grouped rules
@@ -180,11 +181,7 @@ SELECT ip, count(*) AS n, round(count(*) FILTER (WHERE outcome = 'failure') / co
   round(count(*) * 60000000 / greatest(max(us) - min(us), 1), 6) AS per_minute, count(*) FILTER (WHERE us // 3600000000 % 24 < 6) AS off_hours FROM g GROUP BY ip""")
 def batch_features(e):
     """The feature vector of each ip."""
-    return e.groupBy("ip").agg(
-        F.count("*").alias("n"), F.round(F.count_if(F.col("outcome") == "failure") / F.count("*"), 6).alias("failure_rate"), F.count_distinct("user").alias("users"), F.count_distinct("port").alias("ports"),
-        F.round(F.log2(1 + F.count_distinct("port")), 6).alias("log_ports"), F.round(F.count("*") * 60_000_000 / F.greatest(F.max("us") - F.min("us"), F.lit(1)), 6).alias("per_minute"),
-        F.count_if(F.expr("us div 3600000000 % 24") < 6).alias("off_hours"),
-    )
+    return X.behaviour(e)
 
 
 # ---- filters, sorting, sets
@@ -223,7 +220,7 @@ def second_page(e):
 
 @_query(""" SELECT DISTINCT "user" FROM e WHERE outcome = 'failure' INTERSECT SELECT DISTINCT "user" FROM e WHERE outcome = 'success'""")
 def users_failing_and_succeeding(e):
-    return e.filter("outcome = 'failure'").select("user").intersect(e.filter("outcome = 'success'").select("user"))
+    return X.in_both(e, "user", "failure", "success")
 
 
 @_query(""" SELECT "user", ip FROM e WHERE is_anomaly EXCEPT SELECT "user", ip FROM e WHERE attack_type IS NOT NULL""")
@@ -233,14 +230,14 @@ def anomalous_without_attack(e):
 
 @_query(""" SELECT 'web' AS source, count(*) AS n FROM e WHERE log_type = 'apache' UNION ALL SELECT 'auth', count(*) FROM e WHERE log_type = 'ssh_auth'""")
 def union_sources(e):
-    tagged = e.filter("log_type = 'apache'").withColumn("source", F.lit("web")).unionByName(e.filter("log_type = 'ssh_auth'").withColumn("source", F.lit("auth")))
-    return tagged.groupBy("source").agg(F.count("*").alias("n"))
+    parts = {"web": e.filter("log_type = 'apache'"), "auth": e.filter("log_type = 'ssh_auth'")}
+    return lines.tagged(parts).groupBy(F.col("log_source").alias("source")).agg(F.count("*").alias("n"))
 
 
 @_query(""" SELECT ip, port, min(id) AS id FROM e GROUP BY ip, port""")
 def dedupe_on_key(e):
     """The first entry of each (ip, port)."""
-    return e.groupBy("ip", "port").agg(F.min("id").alias("id"))
+    return X.first_of_each(e, "ip", "port")
 
 
 # ---- joins
@@ -257,7 +254,7 @@ def web_database_chain(e):
 @_query(""" SELECT a.id, a.ip FROM e a WHERE a.is_anomaly AND NOT EXISTS (SELECT 1 FROM e b WHERE b.attack_type IS NOT NULL AND b.id = a.id)""")
 def anomaly_alerts(e):
     """Anomalies that no attack alert has."""
-    return e.filter("is_anomaly").select("id", "ip").join(e.filter("attack_type is not null").select("id"), "id", "left_anti")
+    return X.uncovered_anomalies(e)
 
 
 @_query(""" SELECT attack_type, tactic, technique, count(*) AS n FROM (SELECT attack_type FROM e WHERE attack_type IS NOT NULL) x LEFT JOIN
@@ -406,5 +403,4 @@ def capped_timeline(e):
 @_query(""", f AS (SELECT "user", ip FROM e WHERE outcome = 'failure'), s AS (SELECT "user", ip FROM e WHERE outcome = 'success')
 SELECT "user", coalesce(f.n, 0) AS failing, coalesce(s.n, 0) AS succeeding FROM (SELECT "user", count(DISTINCT ip) AS n FROM f GROUP BY 1) f FULL JOIN (SELECT "user", count(DISTINCT ip) AS n FROM s GROUP BY 1) s USING ("user") """)
 def ips_by_outcome(e):
-    g = lambda o, n: e.filter(F.col("outcome") == o).groupBy("user").agg(F.count_distinct("ip").alias(n))
-    return g("failure", "failing").join(g("success", "succeeding"), "user", "full").na.fill(0)
+    return X.ips_by_outcome(e)

@@ -110,10 +110,7 @@ def time_precision(f, j):
 @_query(""", x AS (SELECT *, lag(us) OVER (PARTITION BY file ORDER BY lsn, record) AS prev FROM j) SELECT record, us, reason, reference, lsn, file, prev FROM x WHERE us < prev""")
 def sequence_order(f, j):
     """Journal rows whose time runs backwards in the order of the log."""
-    from pyspark.sql import Window
-
-    prev = F.lag("us").over(Window.partitionBy("file").orderBy("lsn", "record"))
-    return j.withColumn("prev", prev).filter("us < prev")
+    return R.sequence_order(j, "file", "lsn", "us", "record")
 
 
 @_query(""", x AS (SELECT record, file, lsn, max(lsn) OVER (PARTITION BY file) AS top FROM j) SELECT record, file, lsn, top FROM x WHERE top > lsn + 100""")
