@@ -32,19 +32,25 @@ def descriptor(text: Column) -> Column:
     """
     start = F.struct(F.array().cast("array<string>").alias("path"), F.lit("").alias("token"), F.array().cast("array<struct<k: string, v: string>>").alias("found")).cast(_STATE)
     pairs = F.aggregate(F.regexp_extract_all(text, F.lit(r"([()]|[^()]+)"), 1), start, _step)["found"]
-    first = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.get(F.filter(pairs, lambda p: p["k"] == k), F.lit(0)))
-    return F.map_from_entries(first)
+
+    def first(own: Column) -> Column:
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(own, lambda p: p["k"])), lambda k: F.get(F.filter(own, lambda p: p["k"] == k), F.lit(0))))
+
+    return F.get(F.transform(F.array(pairs), first), F.lit(0))
 
 
 def listener(line: Column) -> Column:
     """A listener's line as a map: time, the connect data's service, program, host and user, the address and the result."""
-    d = F.get(F.transform(F.array(descriptor(line)), lambda m: m), F.lit(0))
     part = lambda p, i=1: F.regexp_extract(line, p, i)
-    done = r"\*\s+(establish|accept|reject|update)\s+\*\s+(\S+)"
-    values = {
-        "timestamp": part(r"^(\d{2}-\w{3}-\d{4}\s+\d{2}:\d{2}:\d{2})\s+\*"), "protocol": d["address.protocol"], "host": d["address.host"], "port": d["address.port"], "service_name": d["connect_data.service_name"],
-        "cid_program": F.coalesce(d["connect_data.cid.program"], d["connect_data.cid_program"]), "cid_host": F.coalesce(d["connect_data.cid.host"], d["connect_data.cid_host"]),
-        "cid_user": F.coalesce(d["connect_data.cid.user"], d["connect_data.cid_user"]), "action": part(done), "service": part(done, 2), "result": part(r"\*\s+(\d+)\s*$"),
-    }
-    pairs = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()))
-    return F.when(values["timestamp"] != "", F.map_from_entries(F.filter(pairs, lambda p: p["v"] != "")))
+    done, time = r"\*\s+(establish|accept|reject|update)\s+\*\s+(\S+)", part(r"^(\d{2}-\w{3}-\d{4}\s+\d{2}:\d{2}:\d{2})\s+\*")
+
+    def named(d: Column) -> Column:
+        values = {
+            "timestamp": time, "protocol": d["address.protocol"], "host": d["address.host"], "port": d["address.port"], "service_name": d["connect_data.service_name"],
+            "cid_program": F.coalesce(d["connect_data.cid.program"], d["connect_data.cid_program"]), "cid_host": F.coalesce(d["connect_data.cid.host"], d["connect_data.cid_host"]),
+            "cid_user": F.coalesce(d["connect_data.cid.user"], d["connect_data.cid_user"]), "action": part(done), "service": part(done, 2), "result": part(r"\*\s+(\d+)\s*$"),
+        }
+        return F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items())), lambda p: p["v"] != ""))
+
+    # the descriptors are read once, however many of their names are looked up
+    return F.when(time != "", F.get(F.transform(F.array(descriptor(line)), named), F.lit(0)))
