@@ -113,3 +113,68 @@ MITRE_IDS = (
     ("supply_chain", "TA0001", "T1195"),
     ("dns_tunneling", "TA0010", "T1071.004"),
 )
+
+# Attack type, tactics and techniques of the desktop form; others have the defaults
+DESKTOP_TACTICS = (
+    ("bruteforce", ("TA0006 - Credential Access", "TA0001 - Initial Access"), "T1110 - Brute Force"),
+    ("password_spray", ("TA0006 - Credential Access", "TA0001 - Initial Access"), "T1110 - Brute Force"),
+    ("sql_injection", ("TA0006 - Credential Access", "TA0002 - Execution"), "T1190 - Exploit Public-Facing Application"),
+    ("xss_attack", ("TA0006 - Credential Access", "TA0002 - Execution"), "T1190 - Exploit Public-Facing Application"),
+    ("command_injection", ("TA0001 - Initial Access", "TA0002 - Execution"), "T1059 - Command and Scripting Interpreter"),
+    ("path_traversal", ("TA0006 - Credential Access", "TA0007 - Discovery"), "T1083 - File and Directory Discovery"),
+    ("file_inclusion", ("TA0006 - Credential Access", "TA0002 - Execution"), "T1190 - Exploit Public-Facing Application"),
+    ("privilege_escalation", ("TA0004 - Privilege Escalation",), "T1068 - Exploitation for Privilege Escalation"),
+    ("lateral_movement", ("TA0008 - Lateral Movement",), "T1021 - Remote Services"),
+    ("data_exfiltration", ("TA0010 - Exfiltration",), "T1041 - Exfiltration Over C2"),
+    ("ransomware", ("TA0040 - Impact",), "T1486 - Data Encrypted for Impact"),
+    ("webshell", ("TA0003 - Persistence", "TA0002 - Execution"), "T1505 - Server Software Component"),
+    ("c2_communication", ("TA0011 - Command and Control",), "T1071 - Application Layer Protocol"),
+    ("account_takeover", ("TA0006 - Credential Access", "TA0001 - Initial Access"), "T1078 - Valid Accounts"),
+    ("mfa_bypass", ("TA0006 - Credential Access",), "T1556 - Modify Authentication Process"),
+    ("mfa_fatigue", ("TA0006 - Credential Access",), "T1556 - Modify Authentication Process"),
+    ("session_hijacking", ("TA0006 - Credential Access",), "T1550 - Steal Application Access Token"),
+    ("credential_stuffing", ("TA0006 - Credential Access",), "T1110 - Brute Force"),
+    ("malware_activity", ("TA0002 - Execution", "TA0003 - Persistence"), "T1204 - User Execution"),
+    ("insider_threat", ("TA0003 - Persistence", "TA0010 - Exfiltration"), "TA0003 - Persistence"),
+    ("reconnaissance", ("TA0043 - Reconnaissance",), "T1595 - Gather Victim Host Information"),
+    ("port_scan", ("TA0043 - Reconnaissance",), "T1046 - Network Service Discovery"),
+    ("ddos", ("TA0040 - Impact",), "T1498 - Network Denial of Service"),
+)
+# Attack type, tactics and technique of the web form; what it lacks is Unknown
+WEB_TACTICS = (
+    ("bruteforce", ("TA0006 - Credential Access",), "T1110.001 - Password Guessing"),
+    ("password_spray", ("TA0006 - Credential Access",), "T1110.003 - Password Spraying"),
+    ("credential_stuffing", ("TA0006 - Credential Access",), "T1110.004 - Credential Stuffing"),
+    ("mfa_bypass", ("TA0006 - Credential Access", "TA0005 - Defense Evasion"), "Unknown"),
+    ("mfa_fatigue", ("TA0006 - Credential Access",), "Unknown"),
+    ("session_hijacking", ("TA0006 - Credential Access", "TA0008 - Lateral Movement"), "Unknown"),
+    ("account_takeover", ("TA0006 - Credential Access", "TA0001 - Initial Access"), "Unknown"),
+    ("sql_injection", ("TA0001 - Initial Access", "TA0009 - Collection"), "T1190 - Exploit Public-Facing Application"),
+    ("xss_attack", ("TA0001 - Initial Access", "TA0009 - Collection"), "T1189 - Drive-by Compromise"),
+    ("path_traversal", ("TA0001 - Initial Access", "TA0009 - Collection"), "T1083 - File and Directory Discovery"),
+    ("command_injection", ("TA0002 - Execution",), "T1059 - Command and Scripting Interpreter"),
+    ("privilege_escalation", ("TA0004 - Privilege Escalation",), "T1068 - Exploitation for Privilege Escalation"),
+    ("lateral_movement", ("TA0008 - Lateral Movement",), "T1021 - Remote Services"),
+    ("data_exfiltration", ("TA0010 - Exfiltration",), "T1041 - Exfiltration Over C2 Channel"),
+    ("port_scan", ("TA0043 - Reconnaissance",), "T1046 - Network Service Discovery"),
+    ("ddos", ("TA0040 - Impact",), "T1498 - Network Denial of Service"),
+    ("reconnaissance", ("TA0043 - Reconnaissance",), "T1595 - Active Scanning"),
+    ("malware_activity", ("TA0002 - Execution", "TA0003 - Persistence"), "T1204 - User Execution"),
+    ("c2_communication", ("TA0011 - Command and Control",), "T1071 - Application Layer Protocol"),
+    ("insider_threat", ("TA0009 - Collection", "TA0010 - Exfiltration"), "Unknown"),
+    ("log4shell", ("TA0001 - Initial Access", "TA0002 - Execution"), "T1190 - Exploit Public-Facing Application"),
+    ("ransomware", ("TA0040 - Impact", "TA0002 - Execution"), "T1486 - Data Encrypted for Impact"),
+    ("anomaly", ("TA0043 - Reconnaissance",), "Unknown"),
+)
+# Attack type and the tactics of a chain that has it
+CHAIN_TACTICS = (
+    ("bruteforce", ("Credential Access",)),
+    ("credential_stuffing", ("Credential Access",)),
+    ("sql_injection", ("Initial Access", "Execution")),
+    ("xss_attack", ("Initial Access",)),
+    ("path_traversal", ("Initial Access", "Exfiltration")),
+    ("threat_intel", ("Reconnaissance",)),
+    ("anomaly", ("Suspicious Activity",)),
+    ("spam_activity", ("Resource Hijacking",)),
+    ("account_takeover", ("Persistence", "Privilege Escalation")),
+)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.attacks import CATEGORY_ATTACKS, LOG_CATEGORIES, MITRE_IDS, ORDERED_CLASSES
+from emberlog.functions.attacks import CATEGORY_ATTACKS, CHAIN_TACTICS, LOG_CATEGORIES, MITRE_IDS, ORDERED_CLASSES
 
 # Attack type, weight, patterns (case-insensitive)
 ATTACK_RULES = (
@@ -97,6 +97,20 @@ def with_mitre_ids(labelled: DataFrame) -> DataFrame:
     return labelled.join(ids.select("attack_type", F.split("tactics", ",").alias("tactics"), F.split("techniques", ",").alias("techniques")), "attack_type", "left")
 
 
+def tactics_of(kind: Column, table, default: str, unknown: str) -> tuple[Column, Column]:
+    """(tactics, technique) of an attack type by a table of both; of others `default` and `unknown`."""
+    pair = F.create_map(*(F.lit(x) for t, names, _ in table for x in (t, "|".join(names))))
+    one = F.create_map(*(F.lit(x) for t, _, technique in table for x in (t, technique)))
+    return F.split(F.coalesce(pair[kind], F.lit(default)), r"\|"), F.coalesce(one[kind], F.lit(unknown))
+
+
+def chain_tactics(kinds: Column) -> Column:
+    """The tactics of a chain's attack types, each once and in order; `Unknown` if none is known."""
+    of = F.create_map(*(x for t, names in CHAIN_TACTICS for x in (F.lit(t), F.array(*map(F.lit, names)))))
+    found = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(kinds, lambda k: of[k]), lambda a: a.isNotNull()))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Unknown")))
+
+
 def recommendations(labelled: DataFrame, most: int = 10) -> DataFrame:
     """Distinct advice for the attack types seen, the most frequent first."""
     seen = labelled.groupBy("attack_type").agg(F.count("*").alias("n"))

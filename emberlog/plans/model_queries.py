@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberlog.functions.attacks import DESKTOP_TACTICS, WEB_TACTICS
 from emberlog.operators import autoparse as A
 from emberlog.operators import descriptors as D
+from emberlog.operators import labels as B
 from emberlog.operators import models as M
 from emberlog.plans.entries import SQL, entries
 
@@ -87,3 +89,17 @@ def nested_descriptors(spark, sf_dir):
     line = text("01-JAN-2024 00:00:06 * (CONNECT_DATA=(SERVICE_NAME=svc_", F.col("action"), ")", cid, ") * (ADDRESS=", address, ") * establish * crm * 0")
     got = e.select("id", D.listener(line).alias("m"))
     return got.select("id", *(F.col("m")[c].alias(c) for c in ("service_name", "cid_user", "host", "port", "action")))
+
+
+@_query(""", k AS (SELECT "user" AS u, attack_type AS t FROM e WHERE attack_type IS NOT NULL),
+m AS (SELECT * FROM (VALUES ('bruteforce', 'Credential Access'), ('sql_injection', 'Initial Access'), ('sql_injection', 'Execution')) v(t, tactic)),
+c AS (SELECT u, string_agg(DISTINCT tactic, ',' ORDER BY tactic) AS tactics FROM k LEFT JOIN m USING (t) GROUP BY u)
+SELECT u AS "user", coalesce(tactics, 'Unknown') AS tactics, (SELECT min(CASE t WHEN 'bruteforce' THEN 'T1110 - Brute Force' WHEN 'sql_injection' THEN 'T1190 - Exploit Public-Facing Application' ELSE 'T1046 - Network Service Discovery' END) FROM k WHERE k.u = c.u) AS technique,
+  (SELECT max(CASE t WHEN 'bruteforce' THEN 1 WHEN 'sql_injection' THEN 2 ELSE 1 END) FROM k WHERE k.u = c.u) AS web_tactics FROM c""")
+def tactics_of_chains(spark, sf_dir):
+    """Tactics of each user's attack types taken together, and what single types have in two tables."""
+    e = entries(spark, sf_dir).filter("attack_type is not null")
+    _, technique = B.tactics_of(F.col("attack_type"), DESKTOP_TACTICS, "TA0006 - Credential Access", "T1059 - Command and Scripting Interpreter")
+    web, _ = B.tactics_of(F.col("attack_type"), WEB_TACTICS, "Unknown", "Unknown")
+    g = e.groupBy("user").agg(F.collect_set("attack_type").alias("kinds"), F.min(technique).alias("technique"), F.max(F.size(web)).alias("web_tactics"))
+    return g.select("user", F.array_join(B.chain_tactics(F.col("kinds")), ",").alias("tactics"), "technique", "web_tactics")
