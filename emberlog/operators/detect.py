@@ -87,10 +87,14 @@ OTHER_FIELDS = (
 
 
 def generic_fields(line: Column) -> Column:
-    """Pairs in four forms, addresses, user, status, method and service of lines that no parser reads."""
+    """Pairs in four forms, addresses, user, status, method and service of lines that no parser reads.
+
+    The form `name: value` is read as it stands, so a clock gives keys of digits; they are dropped.
+    """
     found = [F.arrays_zip(F.transform(F.regexp_extract_all(line, F.lit(p), 1), lambda k: F.lower(k)).alias("k"), F.regexp_extract_all(line, F.lit(p), 2).alias("v")) for p in PAIRS]
     found = [F.transform(x, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))) for x in found]
     other = F.array(*(F.struct(F.lit(n).alias("k"), F.regexp_extract(line, p, 1).alias("v")) for n, p in OTHER_FIELDS))
+    found = [F.filter(x, lambda p: ~p["k"].rlike(r"^\d+(?:t\d+)?$")) for x in found]
     every = F.concat(*found, F.filter(other, lambda p: p["v"] != ""))
     first = F.transform(F.array_distinct(F.transform(every, lambda p: p["k"])), lambda k: F.struct(k.alias("k"), F.get(F.filter(every, lambda p: p["k"] == k), F.lit(0))["v"].alias("v")))
     return F.map_from_entries(first)

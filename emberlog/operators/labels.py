@@ -118,7 +118,7 @@ def recommendations(labelled: DataFrame, most: int = 10) -> DataFrame:
 
 
 def severity(text: Column) -> Column:
-    """Substring ladder: critical, error, warning, debug, info."""
+    """Substring ladder: critical, error, warning, debug, info. Words count wherever they stand, so `preferred` holds `err`."""
     low = F.lower(text)
     has = lambda *words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
     return F.when(has("critical", "fatal", "emergency"), "critical").when(has("error", "err", "fail"), "error").when(has("warn"), "warning").when(has("debug"), "debug").otherwise("info")
