@@ -161,12 +161,16 @@ def climb(found: Manifest) -> DataFrame:
     """
     spark = found.nodes.sparkSession
     feet, low = found.nodes.filter("siblings is not null"), f"level = 0 and tree <> {TOP}"
-    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    # all steps' rows are read in as many partitions as the first step has: one for each shuffle partition, not for its few MB
+    own = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         return S.table(spark.sql(_CLIMB, leaves=feet.filter(low), higher=feet.filter(f"not ({low})"), top=TOP, height=found.height))
     finally:
-        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 PROOF = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
