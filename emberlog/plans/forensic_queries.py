@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import artefacts as T
 from emberlog.operators import forensic as R
+from emberlog.operators import sized
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +21,7 @@ j AS (SELECT l_orderkey * 8 + l_linenumber AS record, epoch_us(l_shipdate) - l_p
 def _files(spark, sf_dir):
     li, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    li, o = sized.sides(li, o, "l_orderkey")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("record"), us("o_orderdate").alias("created_us"), us("l_shipdate").alias("modified_us"),
         (us("o_orderdate") + F.col("l_quantity").cast("long") % 4 * 43_200_000_000).alias("fn_created_us"), F.col("l_suppkey").alias("dir"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlation as C
 from emberlog.operators import rules as U
+from emberlog.operators import sized
 from emberlog.plans import forensic_queries as Q
 from emberlog.plans.entries import SQL, entries
 
@@ -103,8 +104,9 @@ b AS (SELECT record, round(s, 6) AS score, CASE WHEN c > 0 OR s > 75 THEN 'CRITI
 def weighted_scores(spark, sf_dir):
     """The 500 records with the highest weighted scores."""
     f = _files(spark, sf_dir)
-    row = lambda cond, s, c, w: f.filter(cond).select("record", F.lit(s).alias("severity"), F.lit(c).alias("confidence"), F.lit(w).alias("weight"))
-    i = row("modified_us < created_us + 864000000000", "CRITICAL", 0.95, 1.5).unionByName(row("fn_created_us > created_us", "HIGH", 0.7, 1.2)).unionByName(row("dir % 3 = 0", "LOW", 0.5, 1.0))
+    row = lambda cond, s, c, w: F.when(F.expr(cond), F.struct(F.lit(s).alias("severity"), F.lit(c).alias("confidence"), F.lit(w).alias("weight")))
+    rows = F.array(row("modified_us < created_us + 864000000000", "CRITICAL", 0.95, 1.5), row("fn_created_us > created_us", "HIGH", 0.7, 1.2), row("dir % 3 = 0", "LOW", 0.5, 1.0))
+    i = f.select("record", F.inline(rows)).filter("severity is not null").repartition(sized.parts(Q._journal(spark, sf_dir)), "record")
     return U.ranked(U.weighted_scores(i).withColumn("score", F.round("score", 6)))
 
 
