@@ -22,18 +22,32 @@ def ntfs_time(ticks: Column) -> Column:
     return F.when(ticks != 0, F.call_function("div", ticks, F.lit(10)) - F.lit(11_644_473_600_000_000))
 
 
+# what a rule on single records finds: a condition, the rule's name, severity and points
+Found = tuple[Column, str, Column, Column]
+
+
 def _rows(df: DataFrame, cond: Column, rule: str, severity: Column, points: Column) -> DataFrame:
     return df.filter(cond).select("record", F.lit(rule).alias("rule"), severity.alias("severity"), points.cast("long").alias("points"))
 
 
+def one_pass(df: DataFrame, *found: Found) -> DataFrame:
+    """What several rules on single records find, in one pass over the records."""
+    hits = [F.when(cond, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), points.cast("long").alias("points"))) for cond, rule, severity, points in found]
+    return df.select("record", F.inline(F.array(*hits))).filter("rule is not null")
+
+
+def _standard_vs_name(files: DataFrame) -> Found:
+    gap = F.abs(F.col("created_us") - F.col("fn_created_us"))
+    if "fn_modified_us" in files.columns:
+        gap = F.greatest(gap, F.abs(F.col("modified_us") - F.col("fn_modified_us")))  # nulls are passed over
+    return gap > SECOND, "standard_vs_name", F.when(gap > DAY, "HIGH").otherwise("MEDIUM"), F.when(gap > DAY, 30).otherwise(15)
+
+
 def standard_vs_name(files: DataFrame) -> DataFrame:
     """Standard and file-name times of creation, or of the last change where both are known (fn_modified_us), differ by over a
     second: HIGH and 30 points over a day, else 15.
     """
-    gap = F.abs(F.col("created_us") - F.col("fn_created_us"))
-    if "fn_modified_us" in files.columns:
-        gap = F.greatest(gap, F.abs(F.col("modified_us") - F.col("fn_modified_us")))  # nulls are passed over
-    return _rows(files, gap > SECOND, "standard_vs_name", F.when(gap > DAY, "HIGH").otherwise("MEDIUM"), F.when(gap > DAY, 30).otherwise(15))
+    return _rows(files, *_standard_vs_name(files))
 
 
 def journal_creation(files: DataFrame, journal: DataFrame) -> DataFrame:
@@ -53,16 +67,24 @@ def log_operations(files: DataFrame, log: DataFrame) -> DataFrame:
     return _rows(j, (gap > DAY) | (F.abs(gap) > 7 * DAY), "log_operations", F.when(gap > DAY, "HIGH").otherwise("MEDIUM"), F.when(gap > DAY, 20).otherwise(10))
 
 
-def odd_times(files: DataFrame, as_of_us: int) -> DataFrame:
-    """Future 100, unset (null, as `ntfs_time` gives it, or 0) 75 and ancient (before 1990) 50 points."""
+def _odd_times(as_of_us: int) -> Found:
     c = F.col("created_us")
     zero = c.isNull() | (c == 0)
     sev = F.when(c > as_of_us, "CRITICAL").when(zero, "HIGH").when(c < 631_152_000_000_000, "MEDIUM")
-    return _rows(files, sev.isNotNull(), "odd_times", sev, F.when(c > as_of_us, 100).when(zero, 75).otherwise(50))
+    return sev.isNotNull(), "odd_times", sev, F.when(c > as_of_us, 100).when(zero, 75).otherwise(50)
+
+
+def odd_times(files: DataFrame, as_of_us: int) -> DataFrame:
+    """Future 100, unset (null, as `ntfs_time` gives it, or 0) 75 and ancient (before 1990) 50 points."""
+    return _rows(files, *_odd_times(as_of_us))
+
+
+def _order_anomaly() -> Found:
+    return F.col("modified_us") < F.col("created_us"), "order_anomaly", F.lit("MEDIUM"), F.lit(25)
 
 
 def order_anomaly(files: DataFrame) -> DataFrame:
-    return _rows(files, F.col("modified_us") < F.col("created_us"), "order_anomaly", F.lit("MEDIUM"), F.lit(25))
+    return _rows(files, *_order_anomaly())
 
 
 def event_bounds(files: DataFrame, events: DataFrame) -> DataFrame:
@@ -72,12 +94,25 @@ def event_bounds(files: DataFrame, events: DataFrame) -> DataFrame:
     return _rows(b, (c > F.col("hi") + DAY) | (c < F.col("lo") - 5 * 365 * DAY), "event_bounds", F.when(c > F.col("hi"), "HIGH").otherwise("LOW"), F.when(c > F.col("hi"), 75).otherwise(25))
 
 
-def round_delta(files: DataFrame, tolerance: int = 0, least: int = 10) -> DataFrame:
-    """Creation and modification apart by a round time, to `tolerance` seconds; needs `least` records in all."""
+def _round_delta(tolerance: int, least: int) -> Found:
+    """By `_n`, the records in all up to `least`."""
     gap = F.abs(F.col("modified_us") - F.col("created_us"))
     near = reduce(lambda a, b: a | b, (F.abs(gap - s * SECOND) <= tolerance * SECOND for s in ROUND_SECONDS))
-    enough = F.broadcast(files.limit(least).agg(F.count("*").alias("_n")))
-    return _rows(files.crossJoin(enough), near & (F.col("_n") >= least), "round_delta", F.lit("MEDIUM"), F.lit(50))
+    return near & (F.col("_n") >= least), "round_delta", F.lit("MEDIUM"), F.lit(50)
+
+
+def _counted(files: DataFrame, least: int) -> DataFrame:
+    return files.crossJoin(F.broadcast(files.limit(least).agg(F.count("*").alias("_n"))))
+
+
+def round_delta(files: DataFrame, tolerance: int = 0, least: int = 10) -> DataFrame:
+    """Creation and modification apart by a round time, to `tolerance` seconds; needs `least` records in all."""
+    return _rows(_counted(files, least), *_round_delta(tolerance, least))
+
+
+def time_indicators(files: DataFrame, as_of_us: int, tolerance: int = 0, least: int = 10) -> DataFrame:
+    """`standard_vs_name`, `odd_times`, `order_anomaly` and `round_delta` in one pass over the records."""
+    return one_pass(_counted(files, least), _standard_vs_name(files), _odd_times(as_of_us), _order_anomaly(), _round_delta(tolerance, least))
 
 
 def delta_clusters(files: DataFrame, least: int = 3) -> DataFrame:

@@ -66,7 +66,7 @@ def tamper_indicators(f, j):
 @_query(_RULES + """ SELECT record, sum(points)::BIGINT AS score, count(*) AS indicators, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)::BIGINT AS worst,
 CASE WHEN sum(points) >= 75 THEN 'CRITICAL' WHEN sum(points) >= 50 THEN 'HIGH' WHEN sum(points) >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM r GROUP BY record""")
 def tamper_scores(f, j):
-    return R.scores(_indicators(f))
+    return R.scores(R.time_indicators(f, AS_OF).repartition(sized.parts(j), "record"))
 
 
 @_query(""", m AS (SELECT record, min(us) AS made_us FROM j WHERE reason & 256 <> 0 GROUP BY 1), x AS (SELECT f.record, made_us, created_us - made_us AS gap FROM f LEFT JOIN m ON f.record = m.record),
