@@ -54,13 +54,9 @@ UNION ALL SELECT record, 'order_anomaly', 'MEDIUM', 25 FROM f WHERE modified_us
 UNION ALL SELECT record, 'round_delta', 'MEDIUM', 50 FROM f WHERE abs(modified_us - created_us) // 1000000 IN (3600, 7200, 43200, 86400, 604800, 2592000, 31536000) AND (modified_us - created_us) % 1000000 = 0) """
 
 
-def _indicators(f):
-    return R.standard_vs_name(f).unionByName(R.odd_times(f, AS_OF)).unionByName(R.order_anomaly(f)).unionByName(R.round_delta(f))
-
-
 @_query(_RULES + "SELECT rule, severity, count(*) AS n, sum(points)::BIGINT AS points, min(record) AS first_record FROM r GROUP BY 1, 2")
 def tamper_indicators(f, j):
-    return _indicators(f).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("points").alias("points"), F.min("record").alias("first_record"))
+    return R.time_indicators(f, AS_OF).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("points").alias("points"), F.min("record").alias("first_record"))
 
 
 @_query(_RULES + """ SELECT record, sum(points)::BIGINT AS score, count(*) AS indicators, max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)::BIGINT AS worst,
