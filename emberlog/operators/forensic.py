@@ -159,9 +159,23 @@ def scores(indicators: DataFrame) -> DataFrame:
     return s.withColumn("band", F.when(F.col("score") >= 75, "CRITICAL").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 25, "MEDIUM").otherwise("LOW"))
 
 
-def presence(base: DataFrame, sources: dict[str, DataFrame], key: str, least: int = 3) -> DataFrame:
-    """Keys that `least` or more of the sources hold."""
+def held(base: DataFrame, sources: dict[str, DataFrame | Column], key: str, parts: int | None = None) -> DataFrame:
+    """Per key of `base`: `_n`, its rows there, and for each source `in_<name>`, whether it holds the key; a null is held by none.
+
+    A source is a table, or a condition on the rows of `base`, so that these are made once. All rows meet in one shuffle
+    by the key, into `parts` partitions if given.
+    """
+    have = F.col(key).isNotNull()
+    own = [(F.coalesce(c & have, F.lit(False)) if isinstance(c, Column) else F.lit(False)).alias(f"in_{s}") for s, c in sources.items()]
+    rows = base.select(key, F.lit(1).alias("_n"), *own)
     for name, df in sources.items():
-        base = base.join(df.select(key).distinct().withColumn(f"in_{name}", F.lit(1)), key, "left")
-    n = reduce(lambda a, b: a + b, (F.coalesce(F.col(f"in_{s}"), F.lit(0)) for s in sources))
-    return base.select(key, n.cast("long").alias("sources")).filter(F.col("sources") >= least)
+        if not isinstance(df, Column):
+            rows = rows.unionByName(df.filter(have).select(key, F.lit(0).alias("_n"), *(F.lit(s == name).alias(f"in_{s}") for s in sources)))
+    dealt = rows.repartition(parts, key) if parts else rows
+    return dealt.groupBy(key).agg(F.sum("_n").alias("_n"), *(F.bool_or(f"in_{s}").alias(f"in_{s}") for s in sources)).filter("_n > 0")
+
+
+def presence(base: DataFrame, sources: dict[str, DataFrame | Column], key: str, least: int = 3, parts: int | None = None) -> DataFrame:
+    """Keys that `least` or more of the sources hold; sources as in `held`."""
+    n = reduce(lambda a, b: a + b, (F.col(f"in_{s}").cast("long") for s in sources))
+    return held(base, sources, key, parts).select(key, n.alias("sources")).filter(F.col("sources") >= least)

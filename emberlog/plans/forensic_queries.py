@@ -119,8 +119,8 @@ def sequence_jump(f, j):
 @_query(""", s AS (SELECT record FROM f WHERE modified_us - created_us > 5184000000000), t AS (SELECT record FROM j WHERE reason & 256 <> 0), u AS (SELECT record FROM f WHERE fn_created_us <> created_us),
 n AS (SELECT f.record, (f.record IN (SELECT record FROM s))::BIGINT + (f.record IN (SELECT record FROM t))::BIGINT + (f.record IN (SELECT record FROM u))::BIGINT AS sources FROM (SELECT DISTINCT record FROM f) f) SELECT record, sources FROM n WHERE sources >= 2""")
 def multi_source_presence(f, j):
-    parts = {"late": f.filter("modified_us - created_us > 5184000000000"), "made": j.filter(F.col("reason").bitwiseAND(256) != 0), "named": f.filter("fn_created_us <> created_us")}
-    return R.presence(f.select("record").distinct(), parts, "record", 2)
+    sources = {"late": F.expr("modified_us - created_us > 5184000000000"), "made": j.filter(F.col("reason").bitwiseAND(256) != 0), "named": F.expr("fn_created_us <> created_us")}
+    return R.presence(f, sources, "record", 2, sized.parts(j))
 
 
 @_query(""", g AS (SELECT record, (modified_us - created_us) / 1000000.0 AS gap FROM f), m AS (SELECT avg(gap) AS a, stddev_pop(gap) AS s FROM g) SELECT record, round((gap - a) / s, 2) AS z FROM g, m WHERE abs((gap - a) / s) > 1.7""")
