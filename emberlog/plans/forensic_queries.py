@@ -149,7 +149,8 @@ def journal_health(f, j):
 g AS (SELECT record, sum(w)::BIGINT AS w FROM v GROUP BY 1), s AS (SELECT f.record, coalesce(w, 0) AS votes FROM f LEFT JOIN g ON f.record = g.record)
 SELECT record, votes, CASE WHEN votes >= 6 THEN 'strong' WHEN votes >= 4 THEN 'moderate' WHEN votes >= 2 THEN 'weak' ELSE 'none' END AS verdict FROM s""")
 def artefact_votes(f, j):
-    return T.votes(f, {"late": (f.filter("modified_us - created_us > 5184000000000"), 3), "made": (j.filter(F.col("reason").bitwiseAND(256) != 0), 2), "named": (f.filter("fn_created_us <> created_us"), 1)})
+    sources = {"late": (F.expr("modified_us - created_us > 5184000000000"), 3), "made": (j.filter(F.col("reason").bitwiseAND(256) != 0), 2), "named": (F.expr("fn_created_us <> created_us"), 1)}
+    return T.votes(f, sources, parts=sized.parts(j))
 
 
 @_query(""", y AS (SELECT dir, year(make_timestamp(created_us)) AS yr, count(*) AS n FROM f GROUP BY 1, 2), g AS (SELECT dir, sum(n)::BIGINT AS files, max(n) AS top, arg_max(yr, n * 10000 + yr)::INTEGER AS year FROM y GROUP BY 1)
