@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.registry import DETECTORS, DISPATCH, LOG_CODES, PARSERS, Detector, Parser
+from emberlog.operators import sized
 from emberlog.operators.times import event_time
 
 RAW = "Custom / Raw"
@@ -70,12 +71,29 @@ def fields_of(line: Column, parser: Parser) -> Column:
         values = [F.trim(F.get(cut, F.lit(i))) for i in range(len(parser.fields))]
         fits = line.rlike("^(?:" + parser.pattern + ")") & (F.size(cut) >= parser.columns)
     else:
-        values = [F.regexp_extract(line, "^(?:" + parser.pattern + ")", i + 1) for i in range(len(parser.fields))]
-        fits = line.rlike("^(?:" + parser.pattern + ")")
+        return F.when(line.rlike("^(?:" + parser.pattern + ")"), _groups(line, parser))
     pairs = F.array(*(F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in zip(parser.fields, values)))
     return F.when(fits, F.map_from_entries(F.filter(pairs, lambda p: p["v"] != "")))
 
 
+#: Stands between the groups of a pattern; lines that hold it are searched once for each group.
+CUT = "\x1f"
+
+
+def _groups(line: Column, parser: Parser) -> Column:
+    """The groups of a line that a parser's pattern fits, as a map, by one search for all of them."""
+
+    def fields(values: list[Column]) -> Column:
+        pairs = F.array(*(F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in zip(parser.fields, values)))
+        return F.map_from_entries(F.filter(pairs, lambda p: p["v"] != ""))
+
+    start, at = "^(?:" + parser.pattern + ")", range(len(parser.fields))
+    each = fields([F.regexp_extract(line, start, i + 1) for i in at])
+    cut = F.split(F.regexp_replace(line, start + r"[\s\S]*", CUT.join(f"${i + 1}" for i in at)), CUT, -1)
+    once = F.transform(F.array(cut), lambda c: fields([F.get(c, F.lit(i)) for i in at]))[0]
+    return F.when(F.contains(line, F.lit(CUT)), each).otherwise(once)
+
+
 # Forms of pairs, of addresses and of other fields that lines hold, in order; the first value of a key wins
 PAIRS = (r"(\w+)=([^,\s]+)", r"(\w+):\s*([^,\s]+)", r'"(\w+)":\s*"([^"]+)"', r'"(\w+)":\s*(\d+)')
 OTHER_FIELDS = (
@@ -116,12 +134,16 @@ def parsers_for(label: Column, parsers: tuple[Parser, ...] = PARSERS) -> dict[tu
 
 def parse(lines: DataFrame, types: DataFrame, parsers: tuple[Parser, ...] = PARSERS) -> DataFrame:
     """Lines with log_type, log_code and fields: the parsers of the source's type first, then generic fields."""
-    typed = lines.join(types.select("source", "log_type"), "source")  # one row a source
-    spec, line = {p.label: p for p in parsers}, F.col("line")
-    whens = [(cond, F.coalesce(*(fields_of(line, spec[x]) for x in chain))) for chain, cond in parsers_for(F.col("log_type"), parsers).items()]
+    spec, line, chains = {p.label: p for p in parsers}, F.col("line"), parsers_for(F.col("log_type"), parsers)
+    which = F.coalesce(*(F.when(cond, i) for i, cond in enumerate(chains.values())))
+    kinds = types.select("source", "log_type", which.alias("_chain"), log_code(F.col("log_type")).alias("_code"))  # one row a source
+    # a shuffle would bring all lines of a source into one task
+    few = not lines.isStreaming and lines.select("source").distinct().limit(sized.SMALL + 1).count() <= sized.SMALL
+    typed = lines.join(F.broadcast(kinds) if few else kinds, "source")
+    whens = [(F.col("_chain") == i, F.coalesce(*(fields_of(line, spec[x]) for x in chain))) for i, chain in enumerate(chains)]
     chosen = reduce(lambda c, x: c.when(*x), whens[1:], F.when(*whens[0]))
-    out = typed.withColumn("_f", chosen).withColumn("parsed", F.col("_f").isNotNull()).withColumn("fields", F.coalesce("_f", generic_fields(line))).drop("_f")
-    return out.withColumn("log_code", log_code(F.col("log_type")))
+    out = typed.withColumn("_f", chosen).withColumn("parsed", F.col("_f").isNotNull()).withColumn("fields", F.coalesce("_f", generic_fields(line))).drop("_f", "_chain")
+    return out.withColumnRenamed("_code", "log_code")
 
 
 def normalise(parsed: DataFrame, year: int | None = None, near: Column | None = None) -> DataFrame:

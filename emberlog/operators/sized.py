@@ -15,6 +15,14 @@ def parts(like: DataFrame) -> int:
     return max(-(-like.count() // ROWS), like.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """`df` (cheap to count) dealt evenly into partitions of `rows` rows, for work that costs far more than the rows' move.
+
+    Files give a task for each of their row groups at most, which may be fewer than there are cores.
+    """
+    return df.repartition(max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def sides(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on the left one's `key`, for a merge join in sized partitions unless the right one is measured to be small."""
     if right.count() <= SMALL:

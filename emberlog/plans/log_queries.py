@@ -14,10 +14,13 @@ from emberlog.operators import correlation as C
 from emberlog.operators import detect as T
 from emberlog.operators import enrich as N
 from emberlog.operators import labels as B
+from emberlog.operators import sized
 from emberlog.plans.entries import SQL, entries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Lines of a task.
+LINES = 100_000
 
 SOURCES = ("Apache", "Linux SSHD Failed", "iptables", "MySQL Error", "Postfix", "AWS CloudTrail", "Suricata", "Linux Syslog", "Custom / Raw")
 MESSAGES = (
@@ -124,7 +127,7 @@ def source_kill_chains(m):
 
 def lines(spark, sf_dir):
     """(source, line_no, line) with the entry's id: the source is the format's name."""
-    e = entries(spark, sf_dir).filter("id is not null")
+    e = sized.spread(entries(spark, sf_dir).filter("id is not null"), LINES)
     ts = lambda f: F.date_format("event_ts", f)
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     ip, user, k = F.col("ip"), F.col("user"), F.col("port").cast("string")
@@ -141,7 +144,7 @@ def lines(spark, sf_dir):
     }
     names = list(forms)
     which = F.pmod(F.substring("user", 2, 20).cast("long"), F.lit(len(names)))
-    line = F.element_at(F.array(*forms.values()), (which + 1).cast("int"))
+    line = F.coalesce(*(F.when(which == i, form) for i, form in enumerate(forms.values())))
     return e.select(F.element_at(F.array(*map(F.lit, names)), (which + 1).cast("int")).alias("source"), F.col("id").alias("line_no"), line.alias("line"))
 
 
@@ -193,9 +196,9 @@ ORACLES["event_times"] = SQL + f""" SELECT id AS line_no, ([{", ".join(_quoted(x
 
 def event_times(spark, sf_dir):
     """The times that lines of 26 formats are given, by their fields or their text."""
-    e = entries(spark, sf_dir).filter("id is not null")
+    e = sized.spread(entries(spark, sf_dir).filter("id is not null"), LINES)
     which = (F.substring("user", 2, 20).cast("long") % len(_TIMED) + 1).cast("int")
-    line = F.element_at(F.array(*(F.concat(F.lit(a), F.date_format("event_ts", f), F.lit(b)) for _, a, f, b, _ in _TIMED)), which)
+    line = F.coalesce(*(F.when(which == i + 1, F.concat(F.lit(a), F.date_format("event_ts", f), F.lit(b))) for i, (_, a, f, b, _) in enumerate(_TIMED)))
     rows = e.select(F.element_at(F.array(*(F.lit(x[0]) for x in _TIMED)), which).alias("source"), F.col("id").alias("line_no"), line.alias("line"))
     found = T.normalise(T.parse(rows, T.detect(rows)), 2024)
     return found.select("source", "line_no", F.unix_micros("event_ts").alias("us"))

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import artefacts, forensic, sized
-from emberlog.plans import forensic_queries, rule_queries
+from emberlog.operators import artefacts, detect, forensic, sized
+from emberlog.plans import forensic_queries, log_queries, rule_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,20 @@ def test_rows_of_a_key_come_back_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(artefacts, "AT_ONCE", 4)
     base = spark.range(10).select(F.lit(1).alias("record"))
     assert artefacts.votes(base, {"all": (F.lit(True), 1)}).count() == 10
+
+
+def test_lines_of_a_source_are_not_brought_together(spark):
+    lines = log_queries.lines(spark, SF)
+    types = lines.select("source").distinct().withColumn("log_type", F.col("source"))
+    plan = detect.parse(lines, types)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "RoundRobinPartitioning" in plan
+
+
+def test_one_search_gives_the_groups(spark):
+    spec = next(p for p in detect.PARSERS if p.label == "Dovecot")
+    line = "Jan  2 03:04:05 mx dovecot: imap-login: Login: user=<ines>, rip=10.0.0.1, done"
+    rows = [(line,), (line.replace("done", "a\x1fb"),), (line + "\nmore\n",), (line.replace("10.0.0.1", "10.0.0.1, lip=10.0.0.2") + "$1\\2",), ("none",), ("",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "line string").select(detect.fields_of(F.col("line"), spec)).collect()]
+    assert [g and (g["user"], g["remote_ip"], g.get("local_ip"), g["details"]) for g in got] == [
+        ("ines", "10.0.0.1", None, ", done"), ("ines", "10.0.0.1", None, ", a\x1fb"), ("ines", "10.0.0.1", None, ", done"), ("ines", "10.0.0.1", "10.0.0.2", ", done$1\\2"), None, None,
+    ]
