@@ -72,8 +72,10 @@ def bare(text: Column, near: Column) -> Column:
     years = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.year(near + F.expr("interval 1 day")) - i)
 
     def of(w: Column) -> Column:
-        times = F.transform(years, lambda y: F.try_to_timestamp(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.regexp_replace(w, r"\.$", "")), F.lit("yyyy-MMM-d HH:mm:ss[.SSSSSSSSS]")))
-        return F.get(F.filter(times, lambda t: t <= near + F.expr("interval 1 day")), F.lit(0))
+        at = lambda y: F.try_to_timestamp(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.regexp_replace(w, r"\.$", "")), F.lit("yyyy-MMM-d HH:mm:ss[.SSSSSSSSS]"))
+        fits = lambda y: F.get(F.filter(F.array(at(y)), lambda t: t <= near + F.expr("interval 1 day")), F.lit(0))
+        # years after the one that fits are not tried, nor any for lines without such a time
+        return F.when(w.isNotNull(), F.aggregate(years, F.lit(None).cast("timestamp"), lambda found, y: F.coalesce(found, fits(y))))
 
     return F.transform(F.array(written), of)[0]
 
@@ -97,5 +99,5 @@ def event_time(line: Column, fields: Column, near: Column) -> Column:
     joined = F.concat_ws(" ", fields["date"], fields["time"])
     named = F.concat_ws(" ", fields["month"], fields["day"], fields["time"], fields["year"])
     texts = F.filter(F.array(own, F.when(fields["date"].isNotNull() & fields["time"].isNotNull(), joined), F.when(fields["month"].isNotNull() & fields["year"].isNotNull(), named), line), lambda t: t.isNotNull())
-    found = F.transform(texts, lambda t: F.coalesce(dated(t), bare(t, near), epoch(t)))
-    return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
+    # texts after the one that holds a time are not searched
+    return F.aggregate(texts, F.lit(None).cast("timestamp"), lambda found, t: F.coalesce(found, dated(t), bare(t, near), epoch(t)))

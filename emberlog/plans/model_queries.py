@@ -9,7 +9,9 @@ from emberlog.operators import autoparse as A
 from emberlog.operators import descriptors as D
 from emberlog.operators import labels as B
 from emberlog.operators import models as M
+from emberlog.operators import sized
 from emberlog.plans.entries import SQL, entries
+from emberlog.plans.log_queries import LINES
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,7 +37,7 @@ SELECT f AS source, id * 4 AS line_no, CASE f WHEN 2 THEN NULL WHEN 7 THEN NULL
   f <> 7 AS parsed, CASE WHEN f = 5 THEN 3 ELSE 1 END AS lines FROM l""")
 def auto_parse(spark, sf_dir):
     """Entries of eight sources: four families of lines, exported rows, JSON, records of three lines and unknown text."""
-    e = entries(spark, sf_dir).filter("id is not null").withColumn("f", F.substring("user", 2, 20).cast("long") % 8)
+    e = sized.spread(entries(spark, sf_dir).filter("id is not null"), LINES).withColumn("f", F.substring("user", 2, 20).cast("long") % 8)
     ts = lambda f: F.date_format("event_ts", f)
     text = lambda *parts: F.array(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
     ip, user, sys = F.col("ip"), F.col("user"), ts("MMM dd HH:mm:ss")
@@ -45,7 +47,7 @@ def auto_parse(spark, sf_dir):
         F.concat(text("# Time: ", ts("yyyy-MM-dd'T'HH:mm:ss"), "Z"), text("# User@Host: ", user, "[", user, "] @ db1 [", ip, "]"), text("select 1;")),
         text('{"time":"', ts("yyyy-MM-dd'T'HH:mm:ss"), 'Z","sourceIp":"', ip, '","username":"', user, '","action":"', F.col("action"), '","status":"', F.col("outcome"), '","level":"', F.col("severity"), '"}'), text("free text of ", user),
     ]
-    lines = e.select(F.col("f").cast("string").alias("source"), "id", F.posexplode(F.element_at(F.array(*forms), (F.col("f") + 1).cast("int"))).alias("at", "line"))
+    lines = e.select(F.col("f").cast("string").alias("source"), "id", F.posexplode(F.coalesce(*(F.when(F.col("f") == i, form) for i, form in enumerate(forms)))).alias("at", "line"))
     lines = lines.select("source", (F.col("id") * 4 + F.col("at")).alias("line_no"), "line")
     types = spark.createDataFrame([(str(i), t) for i, t in enumerate(_TYPES)], "source string, log_type string")
     out = A.auto_parse(lines, types, F.lit("2024-12-30 23:59:59").cast("timestamp"))
