@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm import shared as S
@@ -244,33 +244,36 @@ def _long_lists(lists: DataFrame, similar: int, matches: int) -> DataFrame:
     return left.groupBy("key", "p", "q").cogroup(right.groupBy("key", "p", "q")).applyInArrow(_compared(similar, matches), "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats: bool = False) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int) -> DataFrame:
     """(node, component) over representatives `reps` (rep, signature) that have links."""
     posts = reps.select("rep", "signature").mapInArrow(_tokens, "rep long, key long")
-    shared_keys = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    posts = posts.join(shared_keys, "key")
+    posts = posts.withColumn("df", F.count("*").over(Window.partitionBy("key"))).filter("df > 1")
     # of K rarest-first postings the first K - T + 1 are the prefix; those that nobody shares come first
     counts = posts.groupBy("rep").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"))
     keys = F.expr(f"transform(slice(p, 1, cast(n as int) - {matches} + 1), t -> t.key)")
-    prefix = S.checkpoint(counts.filter(F.col("n") >= matches).select("rep", keys.alias("keys")).select("rep", "keys", F.posexplode("keys").alias("place", "key")))
+    prefix = S.checkpoint(counts.filter(F.col("n") >= matches).select("rep", keys.alias("keys")))
     # a link shares `similar` percent of either's shingles: who has fewer that another one has too drops out
-    ids = S.checkpoint(prefix.select(F.col("rep").alias("doc_id")).distinct())
-    items = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(S.small(ids, BROADCAST_ROWS), "doc_id", "left_semi").mapInArrow(_items, "doc_id long, n long, item long")
-    common = items.groupBy("item").agg(F.count_distinct("doc_id").alias("df") if repeats else F.count("*").alias("df")).filter("df > 1").select("item")
-    ids = S.checkpoint(items.join(common, "item").groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(f"100 * c >= {similar} * n").select("doc_id").distinct())
-    prefix = prefix.join(ids.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
+    found = S.small(prefix.select(F.col("rep").alias("doc_id")), BROADCAST_ROWS)
+    items = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(found, "doc_id", "left_semi").mapInArrow(_items, "doc_id long, n long, item long")
+    every = Window.partitionBy("item")
+    common = items.withColumn("first", F.min("doc_id").over(every)).withColumn("last", F.max("doc_id").over(every)).filter("first < last")
+    ids = S.checkpoint(common.groupBy("doc_id", "n").agg(F.count("*").alias("c")).filter(f"100 * c >= {similar} * n").select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(S.small(ids, BROADCAST_ROWS), "doc_id", "left_semi")
     sketch = texts.mapInArrow(_sketched, "rep long not null, n long not null, key1 long, " + ", ".join(f"{c} long not null" for c in _COLUMNS))
-    lists = S.checkpoint(prefix.join(sketch.join(reps.select("rep", "key1"), ["rep", "key1"], "left_semi").drop("key1").dropDuplicates(["rep"]), "rep"))
-
-    def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select("key", F.col("rep").alias(name[0]), F.col("n").alias("n" + name[0]), F.col("keys").alias("keys" + name[0]), F.col("place").alias("place" + name[0]), *(F.col(c).alias(name[1] + c) for c in _COLUMNS), *(F.col(c).alias(c + name[0]) for c in of.columns if c == "comp"))
-
-    # a pair that shares several lists is made in the first of them alone
-    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {collide('x', 'y', matches)} and {enough('x', 'y', sketch_agreements(similar))} and not arrays_overlap(slice(keysa, 1, placea), keysb)"
-    # round 1: each member of a list against its first member
-    heads = lists.join(lists.groupBy("key").agg(F.min("rep").alias("rep")), ["key", "rep"], "left_semi")
-    stars = S.checkpoint(side(heads, "ax").join(side(lists, "by"), "key").filter(f"b > a and {near}").select("a", "b").distinct())
+    sketch = sketch.join(reps.select("rep", "key1"), ["rep", "key1"], "left_semi").drop("key1").dropDuplicates(["rep"])
+    # sketches and prefixes stand once for each document; the lists hold ids alone
+    sketch = S.checkpoint(sketch.join(prefix, "rep"))
+    lists = sketch.select("rep", F.posexplode("keys").alias("place", "key"))
+
+    def side(of: DataFrame, name: str, *keep: str) -> DataFrame:
+        return of.select(*keep, F.col("rep").alias(name[0]), *(F.col(c).alias(c + name[0]) for c in ("n", "keys", "place", "comp") if c in of.columns), *(F.col(c).alias(name[1] + c) for c in _COLUMNS))
+
+    near = f"100 * least(na, nb) >= {similar} * greatest(na, nb) and {collide('x', 'y', matches)} and {enough('x', 'y', sketch_agreements(similar))}"
+    # round 1: each member of a list against its first member; a pair that shares several lists is compared once
+    heads = lists.groupBy("key").agg(F.min("rep").alias("a"))
+    stars = lists.join(heads, "key").filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    plain = sketch.drop("keys")
+    stars = S.checkpoint(stars.join(side(plain, "ax"), "a").join(side(plain, "by"), "b").filter(near).select("a", "b"))
     first = S.checkpoint(confirm(stars, docs, similar))
     comp = S.components(first)
     # round 2: pairs of different components; who is outside a list's largest component probes the list
@@ -278,8 +281,11 @@ def links(docs: DataFrame, reps: DataFrame, matches: int, similar: int, repeats:
     sizes = lists.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("members")).filter("comps > 1")
     main = S.checkpoint(main.select("key", F.col("top.comp").alias("main"), "members", (F.col("members") - F.col("top.m")).alias("probes")))
-    lists = lists.join(main, "key")
-    probe, there = side(lists.filter("comp <> main and members <= " + str(LONG_LIST)), "ax"), side(lists.filter(f"members <= {LONG_LIST}"), "by").join(main.select("key", "main"), "key")
+    lists = S.checkpoint(lists.join(main, "key").join(sketch, "rep"))
+    # a pair that shares several lists is made in the first of them alone
+    near += " and not arrays_overlap(slice(keysa, 1, placea), keysb)"
+    short = lists.filter(f"members <= {LONG_LIST}")
+    probe, there = side(short.filter("comp <> main"), "ax", "key"), side(short, "by", "key", "main")
     cross = probe.join(there, "key").filter(f"compa <> compb and (compb = main or a < b) and {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cross.unionByName(_long_lists(lists.filter(f"members > {LONG_LIST}"), similar, matches)).distinct()
     second = confirm(S.checkpoint(cross.join(stars, ["a", "b"], "left_anti")), docs, similar)
@@ -298,8 +304,7 @@ def near_dedup(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     classes = named.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     by_set = named.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select("doc_id", "rep")
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "signature", "key1")
-    repeats = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    comp = links(docs, reps, agreements(similar, COORDINATES), similar, repeats)
+    comp = links(docs, reps, agreements(similar, COORDINATES), similar)
     merged = by_set.join(comp, by_set["rep"] == comp["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(merged, "doc_id", "left")
     cid = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

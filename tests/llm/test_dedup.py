@@ -315,3 +315,20 @@ def test_first_of_each_with_odd_rows(spark):
 @pytest.mark.parametrize("run", [line_dedup.dedup_lines, near_dedup.near_dedup, suffix_dedup.dedup_substrings, near_dedup.first_of_each])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sketches_stay_off_lists_that_one_component_holds(spark, monkeypatch):
+    """A group of near copies of its first text is settled by its lists' first members: no list carries sketches."""
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words if i == 0 else [*words[: 10 * i], f"other{i}", *words[10 * i + 1 :]])) for i in range(12)], "doc_id long, text string")
+    made, keep = [], near_dedup.S.checkpoint
+
+    def noted(df):
+        out = keep(df)
+        made.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup.S, "checkpoint", noted)
+    assert {r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == {0}
+    wide = [n for columns, n in made if {"key", "s0"} <= columns]
+    assert wide and not sum(wide)
