@@ -40,6 +40,7 @@ BROADCAST_LINES = 1_000_000
 BROADCAST_KEYS = 500_000
 LETTERS = "etnoairsdl"
 DIGITS = "0123456789"
+RARER = "hcumpfgwybvkjxqz"
 _SCALE = 10**10  # line numbers are below it
 _LISTS = "array<struct<line_no: int, h1: bigint, h2: bigint>>"
 
@@ -103,24 +104,26 @@ def _slots_of(n: str, threshold: int) -> str:
     return f"if({n} >= {threshold * (PER_EDIT + 1)}, {full}, filter({_array(every)}, c -> {_edits(f'{n} - c.l', threshold)} = c.t))"
 
 
-def _counts(chars: str, threshold: int | None = None) -> Column:
-    """The counts of ten one-byte characters in `line`, modulo 64, packed; above them the line's edits, if asked for."""
-    total = F.lit(0).cast("long") if threshold is None else F.shiftleft(F.expr(_edits("n", threshold)).cast("long"), 6 * len(chars))
+def _counts(chars: str, threshold: int | None = None, bits: int = 6) -> Column:
+    """The counts of one-byte characters in `line`, of `bits` bits each, packed; above them the line's edits, if asked for."""
+    total = F.lit(0).cast("long") if threshold is None else F.shiftleft(F.expr(_edits("n", threshold)).cast("long"), bits * len(chars))
     for i, c in enumerate(chars):
         count = F.octet_length("line") - F.octet_length(F.expr(f"replace(line, '{c}', '')"))
-        total = total + F.shiftleft((count % 64).cast("long"), 6 * i)
+        total = total + F.shiftleft((count % (1 << bits)).cast("long"), bits * i)
     return total
 
 
 def _alike() -> str:
-    """SQL for whether counts of letters (x) and digits (y) differ by as much as the edits of the posted line can change them."""
+    """SQL for whether counts of letters (x, z) and digits (y) differ by as much as the edits of the posted line can change them."""
 
-    def gaps(name: str, chars: str) -> str:
-        each = [f"abs((shiftright({name}a, {6 * i}) & 63) - (shiftright({name}b, {6 * i}) & 63))" for i in range(len(chars))]
-        return " + ".join(f"least({g}, 64 - {g})" for g in each)
+    def gaps(name: str, chars: str, bits: int = 6) -> str:
+        most = (1 << bits) - 1
+        each = [f"abs((shiftright({name}a, {bits * i}) & {most}) - (shiftright({name}b, {bits * i}) & {most}))" for i in range(len(chars))]
+        return " + ".join(f"least({g}, {most + 1} - {g})" for g in each)
 
     most = f"2 * shiftright(xa, {6 * len(LETTERS)})"
-    return f"{gaps('y', DIGITS)} <= {most} and {gaps('x', LETTERS)} + {gaps('y', DIGITS)} <= {most}"
+    common = f"{gaps('x', LETTERS)} + {gaps('y', DIGITS)}"
+    return f"{gaps('y', DIGITS)} <= {most} and {common} <= {most} and {common} + {gaps('z', RARER, 4)} <= {most}"
 
 
 def within(x: str, y: str, threshold: int) -> Column:
@@ -201,13 +204,13 @@ def _candidates(texts: DataFrame, ones: DataFrame, threshold: int) -> tuple[Data
     at, size = _start("n - c.l", "c", "c.i"), _size("n - c.l", "c", "c.i")
     rest = f"concat(substring(line, 1, {at} + c.d - 1), substring(line, {at} + c.d + {size}))"
     # m: what the posted line has left
-    rows = rows.select("uid", "key", "pos", "n", "c", _counts(LETTERS, threshold).alias("x"), _counts(DIGITS).alias("y"), F.expr(rest).alias("rest"), F.expr(f"n - c.l - {size}").alias("m"))
+    rows = rows.select("uid", "key", "pos", "n", "c", _counts(LETTERS, threshold).alias("x"), _counts(DIGITS).alias("y"), _counts(RARER, bits=4).alias("z"), F.expr(rest).alias("rest"), F.expr(f"n - c.l - {size}").alias("m"))
     second = f"xxhash64(key, s.i, substring(rest, {_start('m', 's', 's.i')} + s.d, {_size('m', 's', 's.i')}))"
     own = f"filter({_array([s for s in _slots(threshold) if s[1] == s[3] == 0])}, s -> s.t = c.t and pos <= c.t)"
     other = f"filter({_array(_slots(threshold))}, s -> s.t = c.t and s.l = c.l)"
-    rows = S.checkpoint(rows.select("uid", F.expr("c.l").alias("l"), "x", "y", F.expr(f"transform({own}, s -> {second})").alias("posts"), F.expr(f"transform({other}, s -> {second})").alias("probes")))
-    index = rows.select(F.explode("posts").alias("key"), F.col("uid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    asked = rows.select(F.explode("probes").alias("key"), "l", F.col("uid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    rows = S.checkpoint(rows.select("uid", F.expr("c.l").alias("l"), "x", "y", "z", F.expr(f"transform({own}, s -> {second})").alias("posts"), F.expr(f"transform({other}, s -> {second})").alias("probes")))
+    index = rows.select(F.explode("posts").alias("key"), F.col("uid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"))
+    asked = rows.select(F.explode("probes").alias("key"), "l", F.col("uid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"))
     pairs = index.join(asked, "key").filter(f"(l = 0 and a < b or l > 0) and {_alike()}")
     return S.checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), alive
 

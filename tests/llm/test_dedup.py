@@ -332,3 +332,14 @@ def test_sketches_stay_off_lists_that_one_component_holds(spark, monkeypatch):
     assert {r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == {0}
     wide = [n for columns, n in made if {"key", "s0"} <= columns]
     assert wide and not sum(wide)
+
+
+def test_lines_that_differ_in_rarer_letters_do_not_meet(spark):
+    """Lines of one template with marks of rarer letters share their segments, but no pair is handed to the edit distance."""
+    template = "the rest of the tale and its end are on the other side of the stone near the old road to the sea " * 2
+    marks = ["hcum", "pfgw", "ybvk", "jxqz"]
+    docs = spark.createDataFrame([(i, template[:90] + marks[i % 4] * (1 + i // 4) + template[90 + 4 * (i // 4) :]) for i in range(16)], "doc_id long, text string")
+    pairs, alive = line_dedup._candidates(docs, line_dedup._firsts(docs, line_dedup._repeats(docs), 2), 2)
+    assert alive.select("uid").distinct().count() == 16 and pairs.count() == 0
+    near = docs.unionByName(spark.createDataFrame([(99, template[:90] + "hcuq" + template[90:])], docs.schema))
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(near).filter("n_near > 0").collect()} == {99}
