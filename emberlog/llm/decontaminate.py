@@ -21,6 +21,7 @@ passed on if asked for.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,14 +169,13 @@ class Index:
 
 
 def _judged(windows, rate, most):
-    """Adds the block's items to the `items` of each row; all columns pass."""
+    """The block's items in each text. Only texts come to Python and only ids go back; all columns else stay in Spark."""
 
-    def judge(batches):
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(windows.value, rate)
-        for batch in batches:
-            col = batch.column("text")
+        for col in columns:
             _, sizes = S.utf8(col)
-            hits: list = [set(x or ()) for x in batch.column("items").to_pylist()]
+            hits: list = [set() for _ in range(len(col))]
             for lo, hi in S.chunks(sizes, S.CHUNK_BYTES // 2):
                 texts = [normalised(t) for t in col.slice(lo, hi - lo).to_pylist()]
                 for r, t in enumerate(texts):
@@ -183,14 +183,13 @@ def _judged(windows, rate, most):
                         hits[lo + r] |= index.short.get(t, set())
                 for r, w in zip(*index.matches(*codes(texts), most)):
                     hits[lo + r].add(index.items[w])
-            out = pa.array([sorted(x, key=lambda i: (i is None, i)) for x in hits], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(out if n == "items" else batch.column(n) for n in batch.schema.names)], batch.schema.names)
+            yield pa.array([list(x) for x in hits], pa.list_(pa.int64()))
 
-    return judge
+    return F.arrow_udf(judge, "array<bigint>")
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: int = WINDOW, step: int = STEP, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """`docs` (text, items array<bigint>, ...) with the item_ids of `benchmark` (item_id, text) found in `items`."""
+    """`docs` (text, items array<bigint>, ...) with the item_ids of `benchmark` (item_id, text) found in `items`, null last."""
     cut = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_windows(window, step), "item_id long, window string").distinct()
     cut = S.checkpoint(cut)
     blocks = -(-cut.count() // block)
@@ -198,7 +197,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, window: in
         part = cut.filter(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == b) if blocks > 1 else cut
         rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
         if rows.value:
-            docs = docs.mapInArrow(_judged(rows, rate, most), docs.schema)
+            found = _judged(rows, rate, most)(F.col("text").cast("string"))
+            docs = docs.withColumn("items", F.array_sort(F.array_distinct(F.concat("items", found))))
         if b % CHAIN == CHAIN - 1 and b < blocks - 1:
             docs = S.table(docs)
     return docs
@@ -213,8 +213,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` (text, ...), with all their columns, in which no item of `benchmark` is found."""
     names = docs.columns
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("text", F.col(f"c{names.index('text')}").cast("string")).withColumn("items", F.expr("cast(array() as array<bigint>)"))
-    return judged(inner, benchmark, **options).filter(F.size("items") == 0).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    inner = [n if n == "text" else f"c{i}" for i, n in enumerate(names)]  # `items` may be a column of theirs
+    rows = docs.toDF(*inner).withColumn("items", F.expr("cast(array() as array<bigint>)"))
+    return judged(rows, benchmark, **options).filter(F.size("items") == 0).select(*inner).toDF(*names)
 
 
 def op8_decontamination(spark, sf_dir) -> DataFrame:

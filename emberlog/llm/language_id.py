@@ -16,12 +16,12 @@ text is `und`. Texts are read whole. Other columns are ignored, or passed on if
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog.llm import shared as S
 
@@ -59,18 +59,17 @@ def _hashed(codes: np.ndarray, off: np.ndarray):
             yield n, g >> shift
 
 
-def _batches(batch: pa.RecordBatch, most: int = S.CHUNK_BYTES // 2):
-    """Row ranges and their texts, of bounded size."""
-    col = batch.column("text")
-    _, off = S.utf8(col)
+def _batches(column: pa.Array, most: int = S.CHUNK_BYTES // 2):
+    """The texts of ranges of rows, of bounded size."""
+    _, off = S.utf8(column)
     for lo, hi in S.chunks(off, most):
-        yield lo, hi, [t or "" for t in col.slice(lo, hi - lo).to_pylist()]
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
 
 
 def _frequencies(batches):
     df, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        for _, _, texts in _batches(batch):
+        for texts in _batches(batch.column("text")):
             codes, off = _codes(texts)
             grams = list(_hashed(codes, off))
             for a, b in zip(off[:-1], off[1:]):
@@ -87,7 +86,7 @@ def _features(idf):
     def take(batches):
         for batch in batches:
             idx, val = [], []
-            for _, _, texts in _batches(batch):
+            for texts in _batches(batch.column("text")):
                 codes, off = _codes(texts)
                 grams = list(_hashed(codes, off))
                 for a, b in zip(off[:-1], off[1:]):
@@ -160,39 +159,61 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict | None:
     return {"langs": langs, "weights": (weights * idf[:, None]).astype(np.float32), "temperature": temperature(logits, labels[held])}
 
 
-def _predicted(model, with_text=False):
-    def score(batches):
-        # the buckets that carry weight, with their rows of weights side by side
-        table = np.ascontiguousarray(model["weights"].T) if model else None
-        for batch in batches:
-            langs, scores = [], []
-            for _, _, texts in _batches(batch):
-                letters = np.array([has_letter(t) for t in texts], bool)
-                if model is None:
-                    langs += [UNKNOWN] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                codes, off = _codes(texts)
-                k = len(model["langs"])
-                logits, total = np.zeros((len(texts), k)), np.zeros(len(texts))
-                for n, g in _hashed(codes, off):
-                    ok = np.ones(len(codes), bool)
-                    for j in range(1, n):  # n-grams that reach into the next text don't count
-                        ok[off[1:] - j] = False
-                    g = np.concatenate((g, np.zeros(n - 1, g.dtype)))
-                    total += np.diff(off) - n + 1
-                    for c in range(k):
-                        logits[:, c] += np.add.reduceat(table[c][g] * ok, off[:-1])
-                p = softmax(logits / np.maximum(total, 1)[:, None] / model["temperature"])
-                best = p.argmax(1)
-                langs += [model["langs"][b] if x else UNKNOWN for b, x in zip(best, letters)]
-                scores += np.where(letters, p[np.arange(len(texts)), best], 0.0).tolist()
-            kept = [i for i, n in enumerate(batch.schema.names) if n != "text" or with_text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
+def _scored(model):
+    """For a column of texts: the predicted languages and their scores."""
+    # the buckets that carry weight, with their rows of weights side by side
+    table = np.ascontiguousarray(model["weights"].T) if model else None
+
+    def score(column: pa.Array) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
+        for texts in _batches(column):
+            letters = np.array([has_letter(t) for t in texts], bool)
+            if model is None:
+                langs += [UNKNOWN] * len(texts)
+                scores += [0.0] * len(texts)
+                continue
+            codes, off = _codes(texts)
+            k = len(model["langs"])
+            logits, total = np.zeros((len(texts), k)), np.zeros(len(texts))
+            for n, g in _hashed(codes, off):
+                ok = np.ones(len(codes), bool)
+                for j in range(1, n):  # n-grams that reach into the next text don't count
+                    ok[off[1:] - j] = False
+                g = np.concatenate((g, np.zeros(n - 1, g.dtype)))
+                total += np.diff(off) - n + 1
+                for c in range(k):
+                    logits[:, c] += np.add.reduceat(table[c][g] * ok, off[:-1])
+            p = softmax(logits / np.maximum(total, 1)[:, None] / model["temperature"])
+            best = p.argmax(1)
+            langs += [model["langs"][b] if x else UNKNOWN for b, x in zip(best, letters)]
+            scores += np.where(letters, p[np.arange(len(texts)), best], 0.0).tolist()
+        return langs, scores
 
     return score
 
 
+def _predicted(model):
+    def predict(batches):
+        score = _scored(model)
+        for batch in batches:
+            langs, scores = score(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return predict
+
+
+def _sure(model):
+    """The score of each text's language; null for `und`. Only texts come to Python and only scores go back."""
+
+    def sure(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = _scored(model)
+        for column in columns:
+            langs, scores = score(column)
+            yield pa.array([None if x == UNKNOWN else s for x, s in zip(langs, scores)], pa.float64())
+
+    return F.arrow_udf(sure, "double")
+
+
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of `docs` (doc_id, text)."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
@@ -202,10 +223,7 @@ def accepted(docs: DataFrame, model: dict | None, least: float) -> DataFrame:
     """The rows of `docs`, with all their columns, whose language has a score of `least`; without a model, all with a letter."""
     if model is None:
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
-    inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("text", F.col(f"c{docs.columns.index('text')}").cast("string"))
-    fields = [*inner.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    out = inner.mapInArrow(_predicted(model), T.StructType(fields)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return docs.filter(_sure(model)(F.col("text").cast("string")) >= least)
 
 
 def held_out():

@@ -218,6 +218,25 @@ def test_pipeline_stages(spark):
     check_places(P.STAGES[-1][1](spark, kept, SF).collect(), 1024)
 
 
+def test_pipeline_sends_texts_alone_to_python(spark):
+    """Stages that judge a row by its text move no other column through Python, and no text back; pairs stay in Spark."""
+    from emberlog.llm import language_id, near_dedup
+
+    docs = spark.createDataFrame([(1, "one two three", "en", 9), (2, "12 %", "en", 9), (3, "vier fünf", "de", 9), (4, None, "en", 9)], "doc_id long, text string, lang string, items int")
+    bench = spark.createDataFrame([(1, "one two three"), (None, "vier fünf")], "item_id long, text string")
+    plans = [language_id.accepted(docs, language_id.fit(docs), 0.0), decontaminate.clean(docs, bench)]
+    for out in plans:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+        assert out.columns == docs.columns
+    assert [{r.doc_id for r in out.collect()} for out in plans] == [{1, 3}, {2, 4}]
+    text = " ".join(f"w{i}" for i in range(200))
+    near = spark.createDataFrame([(1, text), (2, text + " x"), (3, text[: len(text) // 2])], "doc_id long, text string")
+    links = near_dedup.confirm(spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), near, 85)
+    assert links._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].strip().startswith("Project")
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Rows with equal or null ids are judged one by one, by every stage; equal rows, long texts, an empty table."""
     import corpus_pipeline as P
